@@ -1,7 +1,361 @@
-"""The registered queries of the document operators."""
+"""The registered queries of the document operators: whole tables, one projection or aggregation each.
+
+Texts are compared by digest, arrays as joined strings, numbers rounded, so that engines agree on values.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import models
+from ..functions import lexicon as lex
+from ..functions.chars import lines, strip, word_count
+from ..operators import classify, clean, decisions, evidence, ingest, metrics, packs, refs, sections, sentences
+from ..sources import readers
+from .enrich import enriched, enriched_pages
+
+SEP = " ¦ "
+_all: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _all[f.__name__] = f
+    return f
+
+
+def _long(c: Column) -> Column:
+    return c.cast("long")
+
+
+def _joined(name: str) -> Column:
+    return F.array_join(name, SEP).alias(name)
+
+
+def _digest(c: Column, name: str) -> list[Column]:
+    return [F.md5(c.cast("binary")).alias(f"{name}_md5"), _long(F.length(c)).alias(f"{name}_len")]
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@_query
+def word_count_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = word_count(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", _long(n).alias("word_count"), classify.doc_type(n).alias("doc_type"))
+
+
+@_query
+def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = clean.clean_en(F.col("text"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("q"))
+    d = _documents(spark, sf_dir).select("doc_id", "source", word_count(text).alias("word_count")).join(labels, "doc_id", "left")
+    d = d.withColumn("doc_type", classify.doc_type(F.col("word_count"))).withColumn("facts_found", F.coalesce(F.col("q") == 1, F.lit(False)))
+    s = classify.type_summary(d, "source")
+    return s.select("source", *[_long(F.col(c)).alias(c) for c in ("n_docs", "n_full", "n_facts")], F.round("avg_words", 6).alias("avg_words"))
+
+
+@_query
+def class_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir).select(classify.doc_type(word_count(F.col("text"))).alias("doc_type"))
+    return classify.type_totals(d)
+
+
+@_query
+def case_type_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched(spark, sf_dir).select("doc_id", classify.case_type(F.col("case_name")).alias("case_type"))
+
+
+@_query
+def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir)
+    meta = e.where("doc_id % 10 <> 9").select("doc_id", "case_name")
+    structured = sections.split_sections(e.where("doc_id % 11 <> 5").select("doc_id", F.col("text_en").alias("text"))).select("doc_id", "sections_found")
+    out = classify.classify(e.select("doc_id", F.col("text_en").alias("text")), meta, structured, "doc_id")
+    return out.withColumn("word_count", _long(F.col("word_count")))
+
+
+@_query
+def join_line_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched(spark, sf_dir).select("doc_id", *_digest(clean.join_wraps(F.col("text_en")), "text"))
+
+
+@_query
+def drop_junk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir)
+    en, bn = F.array_join(clean.drop_junk(lines(F.col("text_en"))), "\n"), F.array_join(clean.drop_junk(lines(F.col("text_bn")), lex.JUNK_BN), "\n")
+    return e.select("doc_id", *_digest(en, "en"), *_digest(bn, "bn"))
+
+
+@_query
+def drop_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ls = lines(F.col("text_en"))
+    return enriched(spark, sf_dir).select("doc_id", *_digest(F.array_join(clean.drop_repeated(ls), "\n"), "text"), _long(F.size(clean.repeated(ls))).alias("n_repeated"))
+
+
+@_query
+def collapse_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched(spark, sf_dir).select("doc_id", *_digest(clean.collapse_whitespace(F.col("text_en")), "text"))
+
+
+@_query
+def nfc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched(spark, sf_dir).select("doc_id", *_digest(clean.nfc(F.col("text_bn")), "text"))
+
+
+@_query
+def bangla_stop_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched(spark, sf_dir).select("doc_id", *_digest(clean.bangla_stops(F.col("text_bn")), "text"))
+
+
+@_query
+def stray_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched(spark, sf_dir).select("doc_id", _long(clean.stray_english_lines(F.col("text_bn"))).alias("n_stray"))
+
+
+@_query
+def clean_en_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir).select("doc_id", "text_en", clean.clean_en(F.col("text_en")).alias("c"), F.size(clean.repeated(clean.kept_lines(F.col("text_en"), lex.JUNK_EN))).alias("r"))
+    return e.select("doc_id", *_digest(F.col("c"), "text"), _long(F.length("text_en")).alias("before_len"), F.round(clean.reduction(F.col("text_en"), F.col("c")), 6).alias("reduction"), _long(F.col("r")).alias("n_repeated"))
+
+
+@_query
+def clean_bn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir).select("doc_id", "text_bn", clean.nfc("text_bn").alias("n")).select("doc_id", "text_bn", clean.clean_bn(F.col("n")).alias("c"))
+    return e.select("doc_id", *_digest(F.col("c"), "text"), F.round(clean.reduction(F.col("text_bn"), F.col("c")), 6).alias("reduction"), _long(clean.stray_english_lines(F.col("c"))).alias("n_stray"))
+
+
+@_query
+def clean_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir).select(F.length("text_en").alias("b"), F.length(clean.clean_en(F.col("text_en"))).alias("a"))
+    return e.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("b").alias("before_len"), F.sum("a").alias("after_len"))
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.split_sections(enriched(spark, sf_dir).select("doc_id", F.col("text_en").alias("text")))
+
+
+@_query
+def section_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir).select("doc_id", F.transform(lines(F.col("text_en")), strip).alias("s"))
+    return e.select("doc_id", *[_long(F.coalesce(sections.first_heading(F.col("s"), p), F.lit(-1))).alias(f"at_{k}") for k, p in lex.SECTIONS.items()])
+
+
+@_query
+def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir).select("doc_id", "confidence", "facts_inferred", _joined("sections_found"), *[c for k in lex.SECTIONS for c in _digest(F.col(k), k)])
+
+
+@_query
+def section_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.section_report(_split(spark, sf_dir))
+
+
+@_query
+def missing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.missing_samples(_split(spark, sf_dir)).select("section", "n_missing", F.array_join(F.transform("first_ids", lambda x: x.cast("string")), ",").alias("first_ids"))
+
+
+@_query
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched(spark, sf_dir).select("doc_id", *_digest(sentences.normalize(F.col("text_en")), "text"))
+
+
+@_query
+def sentences_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir).select("doc_id", sentences.decision_sentences(F.concat("text_en", "text_bn")).alias("s"))
+    return e.select("doc_id", _long(F.size("s")).alias("n"), F.md5(F.array_join("s", SEP).cast("binary")).alias("md5"))
+
+
+@_query
+def sentences_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir).select("doc_id", sentences.evidence_sentences(F.concat("text_en", "text_bn")).alias("s"))
+    return e.select("doc_id", _long(F.size("s")).alias("n"), F.md5(F.array_join("s", SEP).cast("binary")).alias("md5"))
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir)
+    en = e.where("doc_id % 6 <> 5").select("doc_id", F.col("text_en").alias("text"))
+    bn = e.where("doc_id % 12 <> 11").select("doc_id", F.col("text_bn").alias("text"))
+    return decisions.final_decisions(decisions.text_with_fallback(e.select("doc_id"), en, bn, "doc_id"))
+
+
+@_query
+def final_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).select(
+        "doc_id", "text_source", _long(F.col("tail_sentences_examined")).alias("tail_sentences_examined"), _joined("final_reasoning_evidence"), _joined("final_decision_evidence"), "decision_found"
+    )
+
+
+@_query
+def decision_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.decision_coverage(_decided(spark, sf_dir))
+
+
+def _evident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir).select("doc_id", F.col("text_en").alias("text"))
+    d = _decided(spark, sf_dir).where("doc_id % 13 <> 1")
+    return evidence.reasoning_evidence(e, d, "doc_id")
+
+
+def _one_evidence(spark: SparkSession, sf_dir: str, fn: Callable[[Column], Column]) -> DataFrame:
+    e = enriched(spark, sf_dir).select("doc_id", sentences.evidence_sentences(F.col("text_en")).alias("s"))
+    return e.select("doc_id", fn(F.col("s")).alias("e")).select("doc_id", _long(F.size("e")).alias("n"), F.array_join("e", SEP).alias("evidence"))
+
+
+@_query
+def fact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one_evidence(spark, sf_dir, evidence.facts)
+
+
+@_query
+def issue_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one_evidence(spark, sf_dir, evidence.issues)
+
+
+@_query
+def legal_basis_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one_evidence(spark, sf_dir, evidence.legal_basis)
+
+
+@_query
+def reasoning_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one_evidence(spark, sf_dir, evidence.court_reasoning)
+
+
+@_query
+def component_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.component_coverage(_evident(spark, sf_dir))
+
+
+def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _split(spark, sf_dir).select("doc_id", "facts_inferred")
+    return packs.reasoning_packs(s, _evident(spark, sf_dir).where("doc_id % 17 <> 3"), _decided(spark, sf_dir), "doc_id")
+
+
+@_query
+def reasoning_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _packs(spark, sf_dir)
+    return p.select("doc_id", "facts_inferred", *[_joined(c) for c in p.columns if c.endswith("_evidence")])
+
+
+@_query
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.prompts(_packs(spark, sf_dir), None, "doc_id").select("doc_id", *_digest(F.col("prompt"), "prompt"))
+
+
+@_query
+def prompt_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.prompts(_packs(spark, sf_dir), 3, "doc_id").select("doc_id", *_digest(F.col("prompt"), "prompt"))
+
+
+@_query
+def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched(spark, sf_dir).select("doc_id", packs.salvage_json(F.col("reply")).alias("json"))
+
+
+@_query
+def parse_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.parse_replies(enriched(spark, sf_dir).select("doc_id", "reply"), "reply", "doc_id").select("doc_id", "facts", "decision", "raw_output", "parse_error")
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir)
+    types = e.where("doc_id % 10 <> 9").select("doc_id", classify.case_type(F.col("case_name")).alias("case_type"))
+    return refs.proxy_references(e.select("doc_id", F.col("text_bn").alias("text")), types, "doc_id")
+
+
+@_query
+def proxy_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _references(spark, sf_dir)
+    return r.select("doc_id", "case_type", "reference_type", _long(word_count(F.col("reference_summary_bn"))).alias("ref_len_words"), *_digest(F.col("reference_summary_bn"), "ref"))
+
+
+@_query
+def reference_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refs.reference_template(_references(spark, sf_dir), "doc_id")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir).select("doc_id", F.col("text_bn").alias("text"))
+    return metrics.scoring_pairs(_references(spark, sf_dir), models.summarize(e.where("doc_id % 9 <> 4"), "doc_id"), "doc_id")
+
+
+@_query
+def skipped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.skipped(_references(spark, sf_dir), _pairs(spark, sf_dir), "doc_id")
+
+
+@_query
+def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pairs(spark, sf_dir)
+    one = p.select("doc_id", _long(word_count(F.col("hyp"))).alias("hyp_len_words"), _long(word_count(F.col("ref"))).alias("ref_len_words")).join(metrics.rouge_n(p, 1, "doc_id"), "doc_id").join(metrics.rouge_n(p, 2, "doc_id").select("doc_id", "rouge2_f"), "doc_id")
+    return one.select("doc_id", "hyp_len_words", "ref_len_words", *[F.round(c, 6).alias(c) for c in ("rouge1_p", "rouge1_r", "rouge1_f", "rouge2_f")])
+
+
+@_query
+def rouge_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.averages(metrics.rouge_n(_pairs(spark, sf_dir), 1, "doc_id"), ["rouge1_p", "rouge1_r", "rouge1_f"])
+
+
+@_query
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("doc_id", F.round(metrics.rouge_l("hyp", "ref"), 6).alias("rougeL_f"))
+
+
+@_query
+def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("doc_id", F.round(metrics.bleu("hyp", "ref"), 6).alias("bleu"))
+
+
+@_query
+def factual_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir).where("doc_id % 8 <> 5").select("doc_id", F.col("text_en").alias("source"))
+    f = metrics.factual_scores(_pairs(spark, sf_dir).join(e, "doc_id", "left"), "doc_id")
+    return f.select("doc_id", *[F.round(c, 6).alias(c) for c in ("factual_precision", "factual_recall", "factual_f1")])
+
+
+@_query
+def bertscore_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    t = v.select(F.floor(F.col("vec_id") / 10).alias("pair_id"), F.when(F.col("vec_id") % 10 < 4, "hyp").otherwise("ref").alias("side"), F.col("vec_id").alias("tok"), F.col("embedding").alias("vec"))
+    return metrics.greedy_match(t).select("pair_id", *[F.round(c, 6).alias(c) for c in ("p", "r", "f1")])
+
+
+@_query
+def anchor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.anchors(enriched_pages(spark, sf_dir)).select("page_id", _long(F.col("pos")).alias("pos"), "href", "link_text")
+
+
+@_query
+def link_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = spark.createDataFrame([("https://supremecourt.gov.bd/resources/documents/7_WP.pdf",)], "pdf_url string")
+    return ingest.harvest(enriched_pages(spark, sf_dir), max_page=100_000, failed=failed)
+
+
+@_query
+def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = ingest.anchors(enriched_pages(spark, sf_dir))
+    return a.select("page_id", _long(F.col("pos")).alias("pos"), ingest.is_document_link(F.col("href")).alias("is_doc"), ingest.resolve(F.col("href")).alias("url"))
+
+
+@_query
+def chunk_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = ingest.readable(_documents(spark, sf_dir).select("doc_id", "text"))
+    t = ingest.translate_chunks(d, models.identity, "doc_id", size=1000)
+    n = d.select("doc_id", _long(F.size(ingest.chunks(F.col("text"), 1000))).alias("n_chunks"))
+    return t.join(n, "doc_id").select("doc_id", "n_chunks", *_digest(F.col("translated"), "text"))
+
+
+@_query
+def utf8_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    f = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit("x.txt").alias("source_file"), F.concat(F.col("text").cast("binary"), broken).alias("content"))
+    return readers.strict_texts(f).select(F.col("id").alias("doc_id"), *_digest(F.col("text"), "text"))
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_all)
