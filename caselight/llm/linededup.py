@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """
     gone = materialize(repeated_lines(docs, k, w).select(F.col("doc_id").alias("__g_id"), F.col("th").alias("__g_th"), "gone"), "line-gone")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    t = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__g_id")) & (F.xxhash64(docs["text"]) == F.col("__g_th")), "left")
+    t = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("__g_id")) & (F.xxhash64(docs["text"]) == F.col("__g_th")), "left")  # merged at every size: what is found grows with the corpus
     lines = _lines("text")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
