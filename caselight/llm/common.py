@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,7 +38,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/caselight/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._caselight_path = path
+    return out
+
+
+def release(spark: SparkSession, *written: DataFrame) -> None:
+    """Drop what earlier steps left behind: tables of :func:`materialize` that nothing reads any more, and shuffle files.
+
+    Spark deletes shuffle files when the driver collects the plans that wrote them, which may be half an hour
+    later; the steps here are done once their table is written, so it is asked to do so now.
+    """
+    jvm = spark.sparkContext._jvm
+    for df in written:
+        path = jvm.org.apache.hadoop.fs.Path(df._caselight_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,14 +85,21 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, held: int, per_
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = []
     for y in (0, 1):
-        rows += known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
+        h = F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
+        part = min(1 << 32, int((1 << 32) * (per_class + 6 * per_class**0.5 + 20) / max(1, totals.get(y, 0))))
+        # the hash threshold leaves about as many rows as are wanted, so that tasks send few, however many there are
+        rows += known.where((F.col("y") == y) & (h < part)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
     spark = labels.sparkSession
     return spark.createDataFrame([(r["doc_id"], r["y"]) for r in rows], "doc_id long, y int"), totals
 
 
-def sampled_docs(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, y, t) of the sampled documents; ``ids`` is bounded by its sampler, hence broadcast. No text is shuffled."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("t")).join(F.broadcast(ids), "doc_id").select("doc_id", "y", "t")
+def sampled_docs(docs: DataFrame, ids: DataFrame, parts: int = 12) -> DataFrame:
+    """(doc_id, y, t) of the sampled documents, written once in ``parts`` partitions.
+
+    ``ids`` is bounded by its sampler, hence broadcast: one scan of the texts, and only the sample's are shuffled.
+    """
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("t")).join(F.broadcast(ids), "doc_id")
+    return materialize(found.select("doc_id", "y", "t").repartition(parts, "doc_id"), "sample")
 
 
 def batches_of(rows: pa.RecordBatch, column: str = "t", limit: int = 4_000_000) -> Iterator[tuple[slice, list[bytes]]]:
