@@ -157,7 +157,7 @@ class Chain:
 
     def __init__(self, weights: np.ndarray, bias: float, trans: np.ndarray):
         self.weights, self.bias, self.trans = weights, bias, trans
-        self.curve = np.array([-4.0, 4.0, 4.0, 0.0])
+        self.curve = np.array([-6.0, 0.0, 0.0, 0.0])  # until it is fitted nothing is toxic
         self._known: dict[bytes, float] = {}
 
     def __getstate__(self):
