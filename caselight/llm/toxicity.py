@@ -1,12 +1,12 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Labelled tokens: documents carry a label, tokens do not, so the token labels are derived. A word of a toxic
-training document is labelled toxic if it is significantly more frequent in toxic than in other training documents.
+training document is labelled toxic if it, or a stem that starts it, is significantly more frequent in toxic than in other training documents.
 The chain (states: other, toxic) is then trained on runs of such tokens by gradient ascent on the exact
 log-likelihood. In a text, forward-backward marginals give each word's probability; they aggregate to the document's
 score by a logistic curve fitted on training documents, and words above ``SPAN`` join into offending byte offsets.
 
-Features of a word are its own hash, prefix and suffix, so an emission depends on the word alone and is looked
+Features of a word are its own hash, two prefixes and a suffix, so an emission depends on the word alone and is looked
 up once per distinct word; the two-state recursion is one number per position, run over many texts at once.
 """
 
@@ -34,6 +34,8 @@ Z = 3.0
 LEAST_DOCS = 3
 DIM = 1 << 18
 SPAN = 0.5
+#: Lengths of stems, in bytes, that may label words.
+STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 
 _EDGE = b".,;:!?\"'()[]{}<>|*#$%&-_/\\=+~`"
@@ -43,18 +45,23 @@ def words_of(text: bytes) -> list[bytes]:
     return [w.strip(_EDGE) for w in text.lower().split()]
 
 
-def features(word: bytes) -> tuple[int, int, int]:
-    return zlib.crc32(b"w" + word) % DIM, zlib.crc32(b"p" + word[:5]) % DIM, zlib.crc32(b"s" + word[-3:]) % DIM
+def features(word: bytes) -> tuple[int, int, int, int]:
+    return zlib.crc32(b"w" + word) % DIM, zlib.crc32(b"p" + word[:5]) % DIM, zlib.crc32(b"q" + word[:7]) % DIM, zlib.crc32(b"s" + word[-3:]) % DIM
+
+
+def keys(word: bytes) -> list[bytes]:
+    """What may label a word: itself, or a stem that starts it."""
+    return [b"w" + word, *(b"p" + word[:k] for k in STEMS if len(word) > k)]
 
 
 def _lexicon(train: DataFrame, totals: tuple[int, int]) -> set[bytes]:
-    """Words by significance; counting runs on the executors, at most ``LEXICON`` words come back."""
+    """Words and stems by significance; counting runs on the executors, at most ``LEXICON`` come back."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in it:
             for y, t in zip(batch.column("y").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                seen[y].update({w for w in words_of(t) if 1 < len(w) <= 64})
+                seen[y].update({k for w in set(words_of(t)) if 1 < len(w) <= 64 for k in keys(w)})
         ws = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.array([seen[0][w] for w in ws], pa.int64()), pa.array([seen[1][w] for w in ws], pa.int64())], names=["w", "n0", "n1"])
 
@@ -77,7 +84,7 @@ def _runs(train: DataFrame, lexicon: set[bytes]) -> list[tuple[list[bytes], list
                 ws = [w[:64] for w in words_of(t)]
                 for i in range(0, len(ws), RUN_WORDS):
                     part = ws[i : i + RUN_WORDS]
-                    tags = bytes(1 if y and w in lexicon else 0 for w in part)
+                    tags = bytes(1 if y and any(k in lexicon for k in keys(w)) else 0 for w in part)
                     rows.append((any(tags), zlib.crc32(b"%d %d" % (d, i)), b" ".join(w or b"-" for w in part), tags))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.bool_(), pa.int64(), pa.binary(), pa.binary()), strict=True)] if rows else [pa.array([], k) for k in (pa.bool_(), pa.int64(), pa.binary(), pa.binary())], names=["hot", "r", "ws", "tags"])
 
@@ -123,7 +130,7 @@ def _train_chain(runs: list[tuple[list[bytes], list[int]]], epochs: int = 12, st
             lengths = np.array([len(y) for _, y in part])
             width = lengths[0]
             real = np.arange(width) < lengths[:, None]
-            x = np.zeros((len(part), width, 3), int)
+            x = np.zeros((len(part), width, 4), int)
             y = np.zeros((len(part), width))
             for r, (f, tag) in enumerate(part):
                 x[r, : len(f)], y[r, : len(f)] = f, tag
@@ -139,7 +146,7 @@ def _train_chain(runs: list[tuple[list[bytes], list[int]]], epochs: int = 12, st
             a, b = y[:, :-1], y[:, 1:]
             seen = np.stack([(1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b])
             gt = ((seen - pairs) * both).sum((1, 2)).reshape(2, 2) / len(part) - 1e-3 * trans
-            gw = np.bincount(x.reshape(-1), np.repeat(d.reshape(-1), 3), DIM)
+            gw = np.bincount(x.reshape(-1), np.repeat(d.reshape(-1), 4), DIM)
             touched = np.flatnonzero(gw)
             gw = gw[touched] - 1e-4 * weights[touched]
             g2[touched] += gw**2
