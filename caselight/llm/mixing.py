@@ -2,7 +2,8 @@
 
 Sizes are summed by source and hash bucket; the bucket where a source's budget ends is split into finer
 buckets until it holds one hash, so each source has one threshold and a document is taken when its hash lies below
-it. Nothing is sorted, and thresholds are nested: what a smaller budget takes, a larger one takes too.
+it. Nothing is sorted, and thresholds are nested: what a smaller budget takes, a larger one takes too, but for the few
+documents at a threshold that are longer than what is left.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .common import WORD, materialize
 #: Bits of the hash that one refinement looks at.
 LEVEL_BITS = 10
 MOST_REPEATS = 3
+#: Documents that may be skipped at a source's threshold as too long, and the share of the target that is near enough.
+SKIPS, NEAR = 4, 0.01
 
 
 def word_count(text: str = "text") -> Column:
@@ -56,38 +59,54 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, source_size, target, times, below): every document ``times`` times, once more if its hash < ``below``.
+    """(source, source_size, target, times, below, skips): every document ``times`` times, once more if its hash is under ``below``.
 
-    ``below`` is on the scale of the 60-bit hash. Each level sums sizes by source and bucket (partial sums: a
-    hot source costs a row per bucket and task), takes the buckets that fit and goes into the one that does not.
+    ``below`` is on the scale of the 60-bit hash. Each level sums sizes by source and bucket (partial sums: a hot
+    source costs a row per bucket and task), takes the buckets that fit and goes into the one that does not, until it
+    is one hash. If that document is too long for what is left, it is skipped and the search goes on behind it, at most
+    ``SKIPS`` times a source and while over ``NEAR`` of the target is open.
     """
     t = targets.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-    state = materialize(t.select("source", "source_size", "target", "times", (F.col("target") - F.col("times") * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("below"), F.lit(True).alias("open")), "mix-state")
-    for level in range(60 // LEVEL_BITS):
-        shift = 60 - LEVEL_BITS * (level + 1)
-        s = state.where("open").select(F.col("source").alias("s"), "left", "below")
-        inside = sizes.join(s, F.col("source").eqNullSafe(F.col("s"))).where(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("below", shift + LEVEL_BITS))
-        hist = inside.groupBy("s", "left", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("w"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-        w = W.partitionBy("s", "left").orderBy("b")  # at most 2**LEVEL_BITS rows
-        cum = hist.withColumn("before", F.coalesce(F.sum("w").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        edge = cum.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("w") > F.col("left"))).select(
-            F.col("s"), F.col("b"), F.col("before"), F.col("w"), (F.col("lo") == F.col("hi")).alias("single"), F.col("hi"), F.lit(True).alias("hit")
-        )
-        rest = F.col("left") - F.col("before")
-        take = F.col("single") & (2 * rest >= F.col("w"))  # the nearer side of one indivisible hash
-        state = materialize(
-            state.join(edge, F.col("source").eqNullSafe(F.col("s")) & F.col("open"), "left").select(
-                "source", "source_size", "target", "times",
-                F.when(F.col("hit"), rest).otherwise(F.col("left")).alias("left"),
-                F.when(take, F.col("hi") + 1).when(F.col("hit"), F.shiftleft("b", shift)).otherwise(F.col("below")).alias("below"),
-                (F.coalesce(F.col("hit"), F.lit(False)) & ~F.coalesce(F.col("single"), F.lit(False))).alias("open"),
-            ), "mix-state",
-        )
-        if not state.where("open").limit(1).count():
+    left = F.col("target") - F.col("times") * F.col("source_size")
+    start = F.lit(0).cast("long")
+    state = t.select("source", "source_size", "target", "times", left.alias("left"), start.alias("below"), start.alias("from"), F.array().cast("array<long>").alias("skips"), F.lit(True).alias("open"), F.lit(False).alias("skip"))
+    state = materialize(state, "mix-state")
+    for turn in range(SKIPS + 1):
+        for level in range(60 // LEVEL_BITS):
+            state = materialize(_refine(sizes, state, level), "mix-state")
+            if not state.where("open").limit(1).count():
+                break
+        again = F.col("skip") & (F.col("left") > NEAR * F.col("target"))
+        if turn == SKIPS or not state.where(again).limit(1).count():
             break
+        state = materialize(state.select(
+            "source", "source_size", "target", "times", "left", F.when(again, F.col("below") + 1).otherwise(F.col("below")).alias("below"),
+            F.when(again, F.col("below") + 1).otherwise(F.col("from")).alias("from"), F.when(again, F.concat("skips", F.array("below"))).otherwise(F.col("skips")).alias("skips"),
+            again.alias("open"), F.lit(False).alias("skip"),
+        ), "mix-state")
     return state
 
 
+def _refine(sizes: DataFrame, state: DataFrame, level: int) -> DataFrame:
+    """One level: of each open source the bucket in which its budget ends."""
+    shift = 60 - LEVEL_BITS * (level + 1)
+    s = state.where("open").select(F.col("source").alias("s"), "left", "below", "from")
+    inside = sizes.join(s, F.col("source").eqNullSafe(F.col("s"))).where((F.col("h") >= F.col("from")) & (F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("below", shift + LEVEL_BITS)))
+    hist = inside.groupBy("s", "left", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("w"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    w = W.partitionBy("s", "left").orderBy("b")  # at most 2**LEVEL_BITS rows
+    cum = hist.withColumn("before", F.coalesce(F.sum("w").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    edge = cum.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("w") > F.col("left"))).select("s", "b", "before", "w", (F.col("lo") == F.col("hi")).alias("single"), "hi", F.lit(True).alias("hit"))
+    rest = F.col("left") - F.col("before")
+    fits = F.col("single") & (2 * rest >= F.col("w"))  # the nearer side of one indivisible hash
+    hit = F.coalesce(F.col("hit"), F.lit(False))
+    below = F.when(hit & fits, F.col("hi") + 1).when(hit & F.col("single"), F.col("hi")).when(hit, F.shiftleft("b", shift))
+    return state.join(edge, F.col("source").eqNullSafe(F.col("s")) & F.col("open"), "left").select(
+        "source", "source_size", "target", "times", F.when(hit, rest).otherwise(F.col("left")).alias("left"),
+        below.when(F.col("open"), F.lit(1 << 60)).otherwise(F.col("below")).alias("below"),  # open, but all that is there fits
+        "from", "skips", (hit & ~F.coalesce("single", F.lit(False))).alias("open"), F.when(hit, F.col("single") & ~fits).otherwise(F.col("skip")).alias("skip"),
+    )
+
+
 def mix_hash() -> Column:
     """60 bits that depend on the id alone."""
     return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mix")), 4)
@@ -107,8 +126,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_
     depends on ``doc_id`` alone. An empty table gives an empty table.
     """
     sizes = sized(docs)
-    state = thresholds(sizes, source_targets(sizes, weights, most)).select(F.col("source").alias("s"), "source_size", "target", "times", "below")
-    copies = F.least(F.col("times") + F.when(F.col("h") < F.col("below"), 1).otherwise(0), F.lit(most))
+    state = thresholds(sizes, source_targets(sizes, weights, most)).select(F.col("source").alias("s"), "source_size", "target", "times", "below", "skips")
+    more = (F.col("h") < F.col("below")) & ~F.array_contains("skips", F.col("h"))
+    copies = F.least(F.col("times") + F.when(more, 1).otherwise(0), F.lit(most))
     return sizes.join(state, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
@@ -119,8 +139,9 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     ``docs`` with these two names are replaced.
     """
     sizes = sized(docs)
-    state = thresholds(sizes, source_targets(sizes, weights, most)).select(F.col("source").alias("__mix_s"), F.col("times").alias("__mix_times"), F.col("below").alias("__mix_below"), F.col("target").alias("__mix_target"))
-    copies = F.least(F.col("__mix_times") + F.when(mix_hash() < F.col("__mix_below"), 1).otherwise(0), F.lit(most))
+    state = thresholds(sizes, source_targets(sizes, weights, most)).select(F.col("source").alias("__mix_s"), F.col("times").alias("__mix_times"), F.col("below").alias("__mix_below"), F.col("skips").alias("__mix_skips"), F.col("target").alias("__mix_target"))
+    more = (mix_hash() < F.col("__mix_below")) & ~F.array_contains("__mix_skips", mix_hash())
+    copies = F.least(F.col("__mix_times") + F.when(more, 1).otherwise(0), F.lit(most))
     keep = [docs[c] for c in docs.columns if c not in ("copies", "target")]
     joined = docs.join(state, docs["source"].cast("string").eqNullSafe(F.col("__mix_s")))
     return joined.select(*keep, copies.alias("copies"), F.col("__mix_target").alias("target")).where(F.col("copies") > 0)
