@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import strip
 
+# Fixed value: the site whose listing pages the links are resolved against by default.
 BASE = "https://supremecourt.gov.bd/web/"
 ANCHOR = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]*)[\"']?[^>]*>(.*?)</a>"
 CHUNK = 4000

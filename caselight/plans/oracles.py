@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from ..functions import lexicon as lex
 from ..functions.chars import WORD, WS_RE2, re2
-from ..models import lead_words  # noqa: F401  (the summary stub that `hyp` below restates)
 from ..operators.packs import FALLBACK_ERROR
 from .enrich import CTE, CTE_PAGES
 
