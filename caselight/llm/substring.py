@@ -20,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialize, raw
+from .common import batches_of, materialize, raw, release
 
 WINDOW = 35
-ROUNDS = 5
+ROUNDS = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,7 +192,16 @@ def _windows(width: int):
                     of.append(np.full(len(s), i))
                 s, i = np.concatenate(at), np.concatenate(of)
                 w1, w2 = window_hashes(h, s + offsets[i], width)
-                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(rid[i]), pa.array(s.astype(np.int32))], names=["w1", "w2", "rid", "s"])
+                # windows that a text itself repeats are settled here; all but the first go on under keys of their own,
+                # so that no key has more rows than there are texts
+                order = np.lexsort((s, w2, w1, i))
+                same = (np.diff(i[order]) == 0) & (np.diff(w1[order]) == 0) & (np.diff(w2[order]) == 0)
+                later, own = np.zeros(len(s), bool), np.zeros(len(s), bool)
+                later[order[1:]] = same
+                own[order[1:]] = same
+                own[order[:-1]] |= same
+                w1 = np.where(later, mix(w1.view(np.uint64) + rid[i].view(np.uint64) * _P + s.astype(np.uint64) * _Q).view(np.int64), w1)
+                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(rid[i]), pa.array(s.astype(np.int32)), pa.array(own)], names=["w1", "w2", "rid", "s", "own"])
 
     return run
 
@@ -228,10 +238,13 @@ def _remove(width: int, with_text: bool):
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(h1, h2, every, starts): per distinct text that has any, the starts of its repeated windows.
 
-    ``every``: the text occurs in several rows, so all its windows do.
+    ``every``: the text occurs in several rows, so all its windows do. Rows of one text under one id can reach the
+    verification twice; they are copies, so their windows do repeat. Texts are merged by their hash at every size: what
+    is found grows with the corpus.
     """
     parsed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), raw().alias("t")).mapInArrow(_parse(width), "doc_id long, h1 long, h2 long, n_words int, names array<long>, lasts array<int>")
     parsed = materialize(parsed.where(F.col("n_words") >= width).withColumn("rid", F.monotonically_increasing_id()), "sub-parsed")
+    spark = docs.sparkSession
     reps = materialize(parsed.groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "sub-texts")
     each = parsed.select("rid", "h1", F.explode(F.arrays_zip("names", "lasts", F.concat(F.array(F.lit(-1)), F.col("lasts")).alias("before"))).alias("x"))
     each = each.select("rid", "h1", F.col("x.names").alias("name"), (F.col("x.before") + 1).alias("a"), F.col("x.lasts").alias("b")).where("b is not null")
@@ -239,14 +252,19 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     often = each.where("name <> 0").groupBy("name").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("name")
     cand = each.where("name <> 0").join(often, "name", "left_semi").select("rid", "a", "b").union(each.where("name = 0").select("rid", "a", "b"))
     ranges = cand.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).join(reps, "rid")
-    ranges = materialize(ranges.select("rid", F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("doc_id").alias("r_doc"), "ranges"), "sub-ranges")
+    ranges = materialize(ranges.select("rid", F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("doc_id").alias("r_doc"), "copies", "ranges"), "sub-ranges")
+    release(spark, parsed)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
-    texts = texts.join(ranges, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("r_doc")))
-    win = materialize(texts.select("rid", raw().alias("t"), "ranges").mapInArrow(_windows(width), "w1 long, w2 int, rid long, s int"), "sub-windows")
-    place = F.xxhash64("rid", "s")
-    twice = win.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("w1", "w2")
-    hits = win.join(twice, ["w1", "w2"], "left_semi").groupBy("rid").agg(F.collect_list("s").alias("starts"))
-    return reps.join(hits, "rid", "left").where((F.col("copies") > 1) | F.col("starts").isNotNull()).select("h1", "h2", (F.col("copies") > 1).alias("every"), "starts")
+    texts = texts.join(ranges.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("r_doc")))
+    # of texts that have copies all windows are known to repeat; their own rows only vouch for others
+    win = texts.select("rid", raw().alias("t"), "ranges").mapInArrow(_windows(width), "w1 long, w2 int, rid long, s int, own boolean")
+    again = F.col("own") | (F.count(F.lit(1)).over(W.partitionBy("w1", "w2")) > 1)
+    hits = win.withColumn("again", again).where("again").groupBy("rid").agg(F.collect_list("s").alias("starts"))
+    found = reps.join(hits, "rid", "left").where((F.col("copies") > 1) | F.col("starts").isNotNull())
+    every = F.col("copies") > 1
+    found = materialize(found.select("h1", "h2", every.alias("every"), F.when(~every, F.col("starts")).alias("starts")), "sub-found")
+    release(spark, reps, ranges)
+    return found
 
 
 def text_key() -> tuple:
@@ -261,7 +279,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = False
     Windows are judged on the input. Defined results: null and empty texts have no words; texts shorter than a window
     stay; a repeated row is a copy, so both lose all their windows; ids may be null or repeated. Extra columns are not read.
     """
-    found = materialize(repeated_windows(docs, width).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "every", "starts"), "sub-found")
+    found = repeated_windows(docs, width).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "every", "starts").hint("merge")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
     texts = texts.join(found, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left")
     out = texts.select("doc_id", raw().alias("t"), F.coalesce("every", F.lit(False)).alias("every"), "starts").mapInArrow(_remove(width, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
