@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,8 +54,10 @@ def release(spark: SparkSession, *written: DataFrame) -> None:
     for df in written:
         path = jvm.org.apache.hadoop.fs.Path(df._caselight_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # what the first round frees can hold what the second finds
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)  # files go in another thread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

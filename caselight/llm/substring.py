@@ -201,7 +201,8 @@ def _windows(width: int):
                 own[order[1:]] = same
                 own[order[:-1]] |= same
                 w1 = np.where(later, mix(w1.view(np.uint64) + rid[i].view(np.uint64) * _P + s.astype(np.uint64) * _Q).view(np.int64), w1)
-                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(rid[i]), pa.array(s.astype(np.int32)), pa.array(own)], names=["w1", "w2", "rid", "s", "own"])
+                rest = (w2.astype(np.int64) << 32) | (s.astype(np.int64) << 1) | own  # one number: fewer bytes to shuffle
+                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(rest), pa.array(rid[i])], names=["w1", "rest", "rid"])
 
     return run
 
@@ -250,14 +251,16 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     each = each.select("rid", "h1", F.col("x.names").alias("name"), (F.col("x.before") + 1).alias("a"), F.col("x.lasts").alias("b")).where("b is not null")
     place = F.xxhash64("h1", "b")  # of copies the same
     often = each.where("name <> 0").groupBy("name").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("name")
+    often = materialize(often, "sub-often")  # joined as a table, so that AQE can split a hot name
     cand = each.where("name <> 0").join(often, "name", "left_semi").select("rid", "a", "b").union(each.where("name = 0").select("rid", "a", "b"))
     ranges = cand.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).join(reps, "rid")
     ranges = materialize(ranges.select("rid", F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("doc_id").alias("r_doc"), "copies", "ranges"), "sub-ranges")
-    release(spark, parsed)
+    release(spark, parsed, often)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
     texts = texts.join(ranges.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("r_doc")))
     # of texts that have copies all windows are known to repeat; their own rows only vouch for others
-    win = texts.select("rid", raw().alias("t"), "ranges").mapInArrow(_windows(width), "w1 long, w2 int, rid long, s int, own boolean")
+    win = texts.select("rid", raw().alias("t"), "ranges").mapInArrow(_windows(width), "w1 long, rest long, rid long")
+    win = win.repartition("w1").select("w1", F.shiftright("rest", 32).alias("w2"), F.shiftright(F.col("rest").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int").alias("s"), (F.col("rest") % 2 != 0).alias("own"), "rid")
     again = F.col("own") | (F.count(F.lit(1)).over(W.partitionBy("w1", "w2")) > 1)
     hits = win.withColumn("again", again).where("again").groupBy("rid").agg(F.collect_list("s").alias("starts"))
     found = reps.join(hits, "rid", "left").where((F.col("copies") > 1) | F.col("starts").isNotNull())
