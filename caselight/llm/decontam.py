@@ -1,8 +1,11 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item may differ from a passage by ``budget`` edits. Cut into ``budget + 1`` pieces, at least one piece
-must occur in the passage unchanged; one automaton finds all pieces of all items in a text, and each hit is verified
-with Myers' bit-parallel edit distance over the item's reach around it.
+must occur in the passage unchanged; one automaton finds all pieces of all items in a text. Pieces are short, so hits
+by chance are sorted out from the piece upwards: of a run of pieces with as many edits as it has pieces, less one, one
+half again has fewer edits than pieces; so some piece has only ancestors, up to the item, that are within their own
+budget (Navarro and Baeza-Yates, 1999). What is left is verified with Myers' bit-parallel edit distance over the
+item's reach around it. No match is lost on the way.
 
 Texts and items are compared lower-cased, with every run of anything but letters and digits as one space.
 """
@@ -12,6 +15,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -21,15 +26,17 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, keep_rows, raw
 
-#: Edits allowed as a share of an item's characters, and the shortest piece that is looked for.
+#: Edits allowed as a share of an item's characters.
 ERROR_RATE = 0.1
-PIECE = 16
-#: Items with fewer words say too little to be told from chance.
+#: Items with fewer words say too little to be told from chance; where scripts have no spaces, two characters are a word.
 LEAST_WORDS = 5
+WORD_CHARS = 2
 #: Characters of items that one automaton holds; more items are searched in further passes.
 BLOCK_CHARS = 8_000_000
 
 _APART = re.compile(r"[\W_]+")
+#: Thai, Lao, Myanmar, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: bytes | str | None) -> str:
@@ -38,14 +45,28 @@ def normal(text: bytes | str | None) -> str:
 
 
 def edit_budget(n: int) -> int:
-    return max(0, min(int(n * ERROR_RATE), n // PIECE - 1))
+    return int(n * ERROR_RATE)
 
 
-def pieces(item: str) -> list[tuple[int, str]]:
-    """(offset, piece): budget + 1 pieces that cover the item."""
+def words_of(item: str) -> int:
+    return len(_UNSPACED.sub(" ", item).split()) + len(_UNSPACED.findall(item)) // WORD_CHARS
+
+
+def cuts_of(item: str) -> list[int]:
+    """Offsets that cut the item into budget + 1 pieces."""
     k = edit_budget(len(item)) + 1
-    cuts = [i * len(item) // k for i in range(k + 1)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [i * len(item) // k for i in range(k + 1)]
+
+
+@cache
+def ancestors(pieces: int, at: int) -> list[tuple[int, int]]:
+    """The runs of pieces, halved again and again, that piece ``at`` lies in: from two or three pieces up to all."""
+    lo, hi, found = 0, pieces, []
+    while hi - lo > 1:
+        found.append((lo, hi))
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if at < mid else (mid, hi)
+    return found[::-1]
 
 
 def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
@@ -81,9 +102,10 @@ class Matcher:
         self.items = items
         self.trie = ahocorasick.Automaton()
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.cuts = [cuts_of(item) for _, item in items]
         for i, (_, item) in enumerate(items):
-            for offset, piece in pieces(item):
-                at[piece].append((i, offset))
+            for k, (a, b) in enumerate(pairwise(self.cuts[i])):
+                at[item[a:b]].append((i, k))
         for piece, places in at.items():
             self.trie.add_word(piece, (len(piece), places))
         if at:
@@ -96,6 +118,24 @@ class Matcher:
             cls._built[key] = cls(items)
         return cls._built[key]
 
+    def likely(self, i: int, k: int, p: int, s: str) -> bool:
+        """Whether piece ``k`` of item ``i``, found at ``p``, has only ancestors within their budgets (the item aside)."""
+        item, cuts = self.items[i][1], self.cuts[i]
+        up = ancestors(len(cuts) - 1, k)
+        if not up:
+            return True
+        base, (lo, hi) = p - cuts[k], up[0]
+        e = hi - lo - 1
+        a, b = (cuts[lo], cuts[k]) if k > lo else (cuts[k + 1], cuts[hi])  # the piece itself has no edits: its sibling has them
+        part = [a + j * (b - a) // (e + 1) for j in range(e + 2)]
+        if not any(s.find(item[x:y], max(0, base + x - e), max(0, base + y + e)) >= 0 for x, y in pairwise(part)):
+            return False
+        for lo, hi in up[:-1]:
+            e = hi - lo - 1
+            if not myers(item[cuts[lo] : cuts[hi]], s[max(0, base + cuts[lo] - e) : base + cuts[hi] + e], e):
+                return False
+        return True
+
     def find(self, text: bytes, first: bool = False) -> list[tuple[int, int, int, int, str]]:
         """(item_id, distance, start, end, passage) of the best match of each item; ``first``: one item is enough."""
         if not self.items:
@@ -103,8 +143,10 @@ class Matcher:
         s = normal(text)
         starts: dict[int, set[int]] = defaultdict(set)
         for end, (n, places) in self.trie.iter(s):
-            for i, offset in places:
-                starts[i].add(end + 1 - n - offset)
+            for i, k in places:
+                at = end + 1 - n - self.cuts[i][k]
+                if at not in starts[i] and self.likely(i, k, end + 1 - n, s):
+                    starts[i].add(at)
         found = []
         for i, at in sorted(starts.items()):
             item_id, item = self.items[i]
@@ -136,7 +178,7 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[
     block, held = [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         item = normal(r["text"])
-        if item.count(" ") + 1 < LEAST_WORDS:
+        if words_of(item) < LEAST_WORDS:
             continue
         block.append((r["item_id"], item))
         held += len(item)
