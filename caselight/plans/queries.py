@@ -333,7 +333,7 @@ def anchor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def link_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = spark.createDataFrame([("https://supremecourt.gov.bd/resources/documents/7_WP.pdf",)], "pdf_url string")
-    return ingest.harvest(enriched_pages(spark, sf_dir), max_page=100_000, failed=failed)
+    return ingest.harvest(enriched_pages(spark, sf_dir), failed=failed)
 
 
 @_query
