@@ -16,14 +16,23 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these six ASCII characters; ``bytes.split()`` splits on the same set.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A key is hot if it holds more than this share (one in so many) of all rows; so there are fewer hot keys than this.
+HOT_SHARE = 1024
+
 _own_root: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session, else (tests) one of our own."""
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+
+    Only a local master, where driver and executors share a disk, may do without: it gets a folder of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _own_root:
         _own_root[key] = tempfile.mkdtemp(prefix="caselight-")
@@ -41,9 +50,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._caselight_path = path
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return out
 
 
+def discard(spark: SparkSession, *written: DataFrame | str) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    known = _written.get(spark.sparkContext.applicationId, [])
+    for df in written:
+        name = df if isinstance(df, str) else df._caselight_path
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if name in known:
+            known.remove(name)
+
+
+def tables_written(spark: SparkSession) -> list[str]:
+    """Paths of the tables that are there now, oldest first."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def sweep(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
+    """Delete what was written since ``before`` but for ``keep``: the intermediate tables of a step that is done."""
+    discard(spark, *(p for p in tables_written(spark) if p not in before and p != keep._caselight_path))
+
+
 def release(spark: SparkSession, *written: DataFrame) -> None:
     """Drop what earlier steps left behind: tables of :func:`materialize` that nothing reads any more, and shuffle files.
 
@@ -51,15 +83,26 @@ def release(spark: SparkSession, *written: DataFrame) -> None:
     later; the steps here are done once their table is written, so it is asked to do so now.
     """
     jvm = spark.sparkContext._jvm
-    for df in written:
-        path = jvm.org.apache.hadoop.fs.Path(df._caselight_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, *written)
     for _ in range(2):  # what the first round frees can hold what the second finds
         gc.collect()
         jvm.System.gc()
         time.sleep(0.5)  # files go in another thread
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """``rows`` (written or cheap) with the one row that ``keyed`` (written) has for their key; ``n`` of it counts them.
+
+    Hot keys, fewer than ``HOT_SHARE`` by definition, go by broadcast, so their rows stay where they are; no other key
+    holds more than that share of all rows, and these are merged. At every size the same.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) * F.lit(HOT_SHARE) > F.lit(total)
+    hot, rest = F.broadcast(keyed.where(often)), keyed.where(~often).hint("merge")
+    cold = rows.join(F.broadcast(keyed.where(often).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(rest, keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -97,17 +140,17 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, held: int, per_
 
 
 def sampled_docs(docs: DataFrame, ids: DataFrame, parts: int = 12) -> DataFrame:
-    """(doc_id, y, t) of the sampled documents, written once in ``parts`` partitions.
+    """(doc_id, y, t) of the sampled documents, one row an id (of several texts the smallest), in ``parts`` partitions.
 
     ``ids`` is bounded by its sampler, hence broadcast: one scan of the texts, and only the sample's are shuffled.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("t")).join(F.broadcast(ids), "doc_id")
-    return materialize(found.select("doc_id", "y", "t").repartition(parts, "doc_id"), "sample")
+    return materialize(found.groupBy("doc_id", "y").agg(F.min("t").alias("t")).repartition(parts, "doc_id"), "sample")
 
 
 def batches_of(rows: pa.RecordBatch, column: str = "t", limit: int = 4_000_000) -> Iterator[tuple[slice, list[bytes]]]:
     """Slices of a record batch that hold about ``limit`` bytes of text at most (one row at least)."""
-    texts = rows.column(column).to_pylist()
+    texts = [t or b"" for t in rows.column(column).cast(pa.binary()).to_pylist()]
     start = held = 0
     for i, t in enumerate(texts):
         if i > start and held + len(t) > limit:
@@ -180,7 +223,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialize(small.where("u <> v").distinct(), "cc")
+        old, edges = edges, materialize(small.where("u <> v").distinct(), "cc")
+        discard(links.sparkSession, old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break
@@ -188,7 +232,9 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         if seen != 0:
             raise RuntimeError("components did not converge")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._caselight_path = edges._caselight_path
+    return out
 
 
 def column_map(fn: Callable[[list[bytes]], dict[str, list]], schema: pa.Schema, keep: list[str], limit: int = 4_000_000):
@@ -206,13 +252,11 @@ def column_map(fn: Callable[[list[bytes]], dict[str, list]], schema: pa.Schema,
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray], limit: int = 4_000_000) -> DataFrame:
     """The rows of ``docs`` for whose text ``keep`` says true, all columns as they are; one pass, no shuffle."""
-    names = docs.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            last = batch.schema.names[-1]
-            for part, texts in batches_of(batch, last, limit):
-                rows = batch.slice(part.start, part.stop - part.start).select(names)
-                yield rows.filter(pa.array(np.asarray(keep(texts), bool)))
+            for part, texts in batches_of(batch, "text", limit):
+                yield batch.slice(part.start, part.stop - part.start).filter(pa.array(np.asarray(keep(texts), bool)))
+        pa.default_memory_pool().release_unused()
 
-    return docs.select(*[docs[c] for c in names], raw().alias("__caselight_raw")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

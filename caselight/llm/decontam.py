@@ -14,21 +14,22 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 from itertools import pairwise
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, keep_rows, raw
+from .common import batches_of, keep_rows, materialize, raw
 
 #: Edits allowed as a share of an item's characters.
 ERROR_RATE = 0.1
-#: Items with fewer words say too little to be told from chance; where scripts have no spaces, two characters are a word.
+#: Items with fewer words say too little for edits: they have to be there as they are, as whole words; where scripts have
+#: no spaces, two characters are a word.
 LEAST_WORDS = 5
 WORD_CHARS = 2
 #: Characters of items that one automaton holds; more items are searched in further passes.
@@ -52,9 +53,13 @@ def words_of(item: str) -> int:
     return len(_UNSPACED.sub(" ", item).split()) + len(_UNSPACED.findall(item)) // WORD_CHARS
 
 
+def budget_of(item: str) -> int:
+    return edit_budget(len(item)) if words_of(item) >= LEAST_WORDS else 0
+
+
 def cuts_of(item: str) -> list[int]:
     """Offsets that cut the item into budget + 1 pieces."""
-    k = edit_budget(len(item)) + 1
+    k = budget_of(item) + 1
     return [i * len(item) // k for i in range(k + 1)]
 
 
@@ -103,6 +108,7 @@ class Matcher:
         self.trie = ahocorasick.Automaton()
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
         self.cuts = [cuts_of(item) for _, item in items]
+        self.whole = [words_of(item) < LEAST_WORDS and not _UNSPACED.search(item) for _, item in items]
         for i, (_, item) in enumerate(items):
             for k, (a, b) in enumerate(pairwise(self.cuts[i])):
                 at[item[a:b]].append((i, k))
@@ -145,12 +151,14 @@ class Matcher:
         for end, (n, places) in self.trie.iter(s):
             for i, k in places:
                 at = end + 1 - n - self.cuts[i][k]
+                if self.whole[i] and not (s[end - n : end - n + 1] in ("", " ") and s[end + 1 : end + 2] in ("", " ")):
+                    continue  # a short item inside longer words
                 if at not in starts[i] and self.likely(i, k, end + 1 - n, s):
                     starts[i].add(at)
         found = []
         for i, at in sorted(starts.items()):
             item_id, item = self.items[i]
-            e, best, till = edit_budget(len(item)), None, None
+            e, best, till = budget_of(item), None, None
             spans: list[list[int]] = []
             for a in sorted(at):
                 lo, hi = max(0, a - e), min(len(s), a + len(item) + e)
@@ -178,7 +186,7 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[
     block, held = [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         item = normal(r["text"])
-        if words_of(item) < LEAST_WORDS:
+        if not item:
             continue
         block.append((r["item_id"], item))
         held += len(item)
@@ -189,26 +197,37 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[
         yield block
 
 
-def _key(items: list[tuple[int, str]]) -> int:
-    return hash(tuple(items))
+def _each_block(spark: SparkSession, benchmark: DataFrame, step: Callable[[Callable[[], Matcher], bool], None]) -> None:
+    """``step`` for each block of items, with what gives a worker its matcher, and whether further blocks follow.
+
+    All but the last block's broadcast go once the step is done, so that executors hold one block at a time.
+    """
+    blocks = item_blocks(benchmark)
+    items = next(blocks, None)
+    while items is not None:
+        following = next(blocks, None)
+        shared, key = spark.sparkContext.broadcast(items), hash(tuple(items))
+        step(lambda shared=shared, key=key: Matcher.of(key, shared.value), following is not None)
+        if following is not None:
+            shared.destroy()
+        items = following
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, start, end, passage): the best match of every item in every whole text.
 
-    Offsets count characters of the normalised text. Defined results: null, empty and short texts match nothing;
-    items that are null or of fewer than ``LEAST_WORDS`` words are not looked for; repeated documents or items give a
-    row each. Extra columns are not read.
+    Offsets count characters of the normalised text. Defined results: null and empty texts match nothing; items that
+    are null or without letters and digits are not looked for, those of fewer than ``LEAST_WORDS`` words exactly;
+    repeated documents give a row each, repeated rows of the test set count once. Extra columns are not read.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, start int, end int, passage string"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("t"))
-    out = None
-    for items in item_blocks(benchmark):
-        shared, key = spark.sparkContext.broadcast(items), _key(items)
+    parts: list[DataFrame] = []
 
-        def run(it: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher.of(key, shared.value)
+    def step(matcher_of: Callable[[], Matcher], more: bool) -> None:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of()
             for batch in it:
                 for part, texts in batches_of(batch):
                     ids = batch.column("doc_id").slice(part.start, part.stop - part.start).to_pylist()
@@ -218,18 +237,19 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "distance", "start", "end", "passage"])
 
         found = source.mapInArrow(run, schema)
-        out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+        parts.append(materialize(found, "decontam") if more else found)
+
+    _each_block(spark, benchmark, step)
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, all columns as they are; one pass over the texts per block of items."""
-    for items in item_blocks(benchmark):
-        shared, key = docs.sparkSession.sparkContext.broadcast(items), _key(items)
+    kept = [docs]
 
-        def keep(texts: list[bytes], shared=shared, key=key) -> np.ndarray:
-            matcher = Matcher.of(key, shared.value)
-            return np.array([not matcher.find(t, first=True) for t in texts], bool)
+    def step(matcher_of: Callable[[], Matcher], more: bool) -> None:
+        out = keep_rows(kept[-1], lambda texts: np.array([not matcher_of().find(t, first=True) for t in texts], bool))
+        kept.append(materialize(out, "decontam") if more else out)
 
-        docs = keep_rows(docs, keep)
-    return docs
+    _each_block(docs.sparkSession, benchmark, step)
+    return kept[-1]

@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counting is exact over every training row and runs where the rows are: a task keeps one dense count vector per
-language and emits its non-zero entries once. The log-probability matrix (buckets x languages, bounded by
-``MOST_LANGUAGES``) is broadcast; a batch of texts is scored by gathering matrix rows and summing per text.
+language and emits its non-zero entries once. The log-probability matrix is broadcast in blocks of languages. A batch of
+texts is scored as a sparse matrix: its (text, bucket, count) entries gather matrix rows, which are summed per text.
 """
 
 from __future__ import annotations
@@ -12,57 +12,93 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, column_map, fold_of, raw
+from .common import batches_of, column_map, fold_of, materialize, raw
 
 BUCKETS = 1 << 15
-#: n-gram lengths, in UTF-8 bytes of the lower-cased text.
+#: n-gram lengths, in characters of the lower-cased text.
 LENGTHS = (1, 2, 3, 4)
 ALPHA = 0.5
-#: The matrix takes BUCKETS * 4 bytes a language: 64 MB at most.
-MOST_LANGUAGES = 512
+#: Languages of one block of the matrix, which takes BUCKETS * 4 bytes a language. There may be any number of blocks.
+BLOCK = 512
+#: Bytes of text that are scored at once.
+BATCH = 1_000_000
 
-_LETTER = re.compile(r"[^\W\d_]")
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER[[9, 10, 11, 12, 13]] = 32
+_WORDY = re.compile(r"[^\W\d_]")
+_SPACES = re.compile(r"\s+")
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Bucket of every n-gram of a whole text; digits and ASCII punctuation are left in, white space is one kind."""
-    c = _LOWER[np.frombuffer(text, np.uint8)].astype(np.uint32)
-    out = []
+def characters(text: bytes) -> str:
+    """What n-grams are taken from: the lower-cased text; bytes that are no UTF-8 count as U+FFFD, white space as one blank."""
+    return _SPACES.sub(" ", text.decode("utf-8", "replace").lower())
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of every n-gram of whole texts; no n-gram reaches across texts."""
+    chars = [characters(t) for t in texts]
+    lens = np.fromiter(map(len, chars), np.int64, len(chars))
+    c = np.frombuffer("".join(chars).encode("utf-32-le", "surrogatepass"), np.uint32)
+    of = np.repeat(np.arange(len(chars), dtype=np.uint32), lens)
+    left = np.repeat(np.cumsum(lens), lens) - np.arange(len(c))  # characters from here to the text's end
+    rows, out = [], []
     h = np.zeros(len(c), np.uint32)
     for n in range(1, max(LENGTHS) + 1):
         if len(c) < n:
             break
         h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] + np.uint32(n)
         if n in LENGTHS:
-            out.append(((h * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int32))
-    return np.concatenate(out) if out else np.zeros(0, np.int32)
+            inside = left[: len(h)] >= n
+            rows.append(of[: len(h)][inside])
+            out.append(((h * np.uint32(0x9E3779B1)) >> np.uint32(17))[inside])
+    if not out:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def sparse(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, bucket, count) of the texts' n-grams, sorted by text and bucket."""
+    row, bucket = grams(texts)
+    if len(texts) <= 1 << 17:
+        key = np.sort((row << np.uint32(15)) | bucket)
+    else:
+        key = np.sort((row.astype(np.uint64) << np.uint64(15)) | bucket)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    key, n = key[first], np.diff(np.append(first, len(key)))
+    return (key >> key.dtype.type(15)).astype(np.int64), (key & key.dtype.type(BUCKETS - 1)).astype(np.int64), n
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(_LETTER.search(text.decode("utf-8", "replace")))
+    """Whether a character of a category L* is there; fractions, circled and Roman numerals are none."""
+    return any(m[0].isalpha() for m in _WORDY.finditer(text.decode("utf-8", "replace")))
 
 
 class Bayes:
-    def __init__(self, langs: list[str], counts: np.ndarray, docs: np.ndarray):
-        self.langs = langs
-        p = counts + ALPHA
-        self.log = np.ascontiguousarray((np.log(p) - np.log(p.sum(0))).astype(np.float32))
-        self.prior = np.log(np.maximum(docs, 1) / max(1, docs.sum()))
+    """Languages and log-priors, and the blocks of the log-probability matrix, each (buckets, languages) and broadcast."""
+
+    def __init__(self, langs: list[str], prior: np.ndarray, blocks: list[Broadcast]):
+        self.langs, self.prior, self.blocks = langs, prior, blocks
+
+    def block(self, i: int) -> np.ndarray:
+        """One block is kept by the worker; of several, each is loaded as it is needed."""
+        b = self.blocks[i]
+        return b.value if len(self.blocks) == 1 or b._path is None else b.load_from_path(b._path)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages) log-posteriors up to a constant."""
         out = np.tile(self.prior, (len(texts), 1))
-        step = max(1, 2_000_000 // max(1, len(self.langs)))
-        for i, t in enumerate(texts):
-            g = grams(t)
-            for a in range(0, len(g), step):
-                out[i] += self.log[g[a : a + step]].sum(0, dtype=np.float64)
+        row, bucket, n = sparse(texts)
+        if not len(row):
+            return out
+        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        seen, at = row[starts], 0
+        for i in range(len(self.blocks)):
+            log = self.block(i)
+            for j in range(log.shape[1]):
+                out[seen, at + j] += np.add.reduceat(log[:, j][bucket] * n, starts)
+            at += log.shape[1]
         return out
 
     def predict(self, texts: list[bytes]) -> dict[str, list]:
@@ -75,7 +111,13 @@ class Bayes:
         return {"lang_pred": [self.langs[b] if k else "und" for b, k in zip(best, ok, strict=True)], "score": [float(x) if k else 0.0 for x, k in zip(p, ok, strict=True)]}
 
 
-def fit(docs: DataFrame, modulus: int = 4, held: int = 2) -> Bayes:
+def log_probabilities(counts: np.ndarray) -> np.ndarray:
+    """Smoothed log-probabilities of (buckets, languages) counts; columns are laid out one after the other."""
+    p = counts + ALPHA
+    return np.asfortranarray((np.log(p) - np.log(p.sum(0))).astype(np.float32))
+
+
+def fit(docs: DataFrame, modulus: int = 4, held: int = 2, block: int = BLOCK) -> Bayes:
     """Learn from text and non-null ``lang`` of every row outside the held-out fold (null ids belong to no fold and are left out)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), modulus) != held))
 
@@ -83,31 +125,41 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2) -> Bayes:
         seen: dict[str, np.ndarray] = {}
         n: dict[str, int] = {}
         for batch in it:
-            for part, texts in batches_of(batch):
+            for part, texts in batches_of(batch, limit=BATCH):
+                by: dict[str, list[bytes]] = {}
                 for lang, t in zip(batch.column("lang").slice(part.start, part.stop - part.start).to_pylist(), texts, strict=True):
+                    by.setdefault(lang, []).append(t)
+                for lang, ts in by.items():
                     if lang not in seen:
                         seen[lang], n[lang] = np.zeros(BUCKETS, np.int64), 0
-                    g = grams(t)
-                    if len(g) > BUCKETS // 4:
-                        seen[lang] += np.bincount(g, minlength=BUCKETS)
-                    else:
-                        np.add.at(seen[lang], g, 1)
-                    n[lang] += 1
+                    seen[lang] += np.bincount(grams(ts)[1], minlength=BUCKETS)
+                    n[lang] += len(ts)
         for lang, v in seen.items():
             b = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(b) + 1)), pa.array(np.append(b, -1), pa.int32()), pa.array(np.append(v[b], n[lang]))], names=["lang", "b", "n"])
 
     per = rows.select("lang", raw().alias("t")).mapInArrow(count, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n"))
-    table: dict[str, np.ndarray] = {}
-    for r in per.toLocalIterator():  # bounded: languages x buckets
-        if r["lang"] not in table:
-            if len(table) == MOST_LANGUAGES:
-                raise ValueError(f"more than {MOST_LANGUAGES} languages")
-            table[r["lang"]] = np.zeros(BUCKETS + 1, np.int64)
-        table[r["lang"]][r["b"]] = r["n"]
-    langs = sorted(table)
-    m = np.array([table[x] for x in langs]).T if langs else np.zeros((BUCKETS + 1, 0))
-    return Bayes(langs, m[:-1].astype(float), m[-1].astype(float) if langs else np.zeros(0))
+    spark: SparkSession = docs.sparkSession
+    langs, prior, blocks, held_langs = [], [], [], []
+
+    def close() -> None:
+        if held_langs:
+            blocks.append(spark.sparkContext.broadcast(log_probabilities(np.array(held_langs).T)))
+            held_langs.clear()
+
+    for r in materialize(per, "lang-counts").orderBy("lang", "b").toLocalIterator():  # a block of languages at a time
+        if not langs or langs[-1] != r["lang"]:
+            if len(held_langs) == block:
+                close()
+            langs.append(r["lang"])
+            held_langs.append(np.zeros(BUCKETS))
+            prior.append(0.0)
+        if r["b"] < 0:
+            prior[-1] = float(np.log(r["n"]))
+        else:
+            held_langs[-1][r["b"]] = r["n"]
+    close()
+    return Bayes(langs, np.array(prior), blocks)
 
 
 def predict(docs: DataFrame, model: Bayes, modulus: int = 4, held: int = 2) -> DataFrame:
@@ -116,9 +168,8 @@ def predict(docs: DataFrame, model: Bayes, modulus: int = 4, held: int = 2) -> D
     Defined results: null texts and texts without a letter are ``und`` with score 0; a null id is not held out;
     nothing learned means ``und`` everywhere. Extra columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     ids = F.col("doc_id").cast("long")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
     return docs.select(ids.alias("doc_id"), F.coalesce(fold_of(ids, modulus) == held, F.lit(False)).alias("held_out"), raw().alias("t")).mapInArrow(
-        column_map(lambda texts: shared.value.predict(texts), schema, ["doc_id", "held_out"]), "doc_id long, held_out boolean, lang_pred string, score double"
+        column_map(model.predict, schema, ["doc_id", "held_out"], limit=BATCH), "doc_id long, held_out boolean, lang_pred string, score double"
     )

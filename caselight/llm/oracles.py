@@ -42,13 +42,17 @@ def _rule(what: str) -> str:
     return out
 
 
+#: The SQL form grows this many levels; the operator has no such bound.
+_LEVELS = 12
+
+
 def _op4() -> str:
     u = urlfilter
     levels = []
-    for i in range(u.LEVELS):
+    for i in range(_LEVELS):
         levels.append(
-            f"k{i} AS (SELECT host, tpl, segs[{i + 1}] AS seg, sum(n) AS n FROM t{i} WHERE len(segs) > {i} GROUP BY ALL), "
-            f"w{i} AS (SELECT host, tpl FROM k{i} GROUP BY ALL HAVING count(*) >= {u.CHILDREN} AND sum(n) < {u.PAGES_A_CHILD} * count(*)), "
+            f"k{i} AS (SELECT host, tpl, segs[{i + 1}] AS seg, count(*) AS n FROM t{i} WHERE len(segs) > {i} GROUP BY ALL), "
+            f"w{i} AS (SELECT host, tpl FROM k{i} GROUP BY ALL HAVING count(*) >= {u.CHILDREN} AND 2 * count(*) FILTER (n < {u.RARE}) > count(*)), "
             f"t{i + 1} AS (SELECT t.host, t.path, t.n, t.b, t.a, t.segs, t.tpl || CASE WHEN len(t.segs) <= {i} THEN '' WHEN w.host IS NOT NULL THEN '/*' ELSE '/' || t.segs[{i + 1}] END AS tpl FROM t{i} t LEFT JOIN w{i} w USING (host, tpl))"
         )
     return f"""
@@ -56,9 +60,9 @@ WITH s AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UP}', '{_LOW}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
 q AS (SELECT host, path, count(*) AS n, {_rule('verdict')} AS v, string_split(regexp_replace(path, '^/', ''), '/') AS raw FROM p GROUP BY host, path),
 t0 AS (SELECT host, path, n, CASE WHEN v = 'block' THEN n ELSE 0 END AS b, CASE WHEN v = 'allow' THEN n ELSE 0 END AS a,
-  CASE WHEN len(raw) > {u.LEVELS} THEN list_append(raw[1:{u.LEVELS - 1}], array_to_string(raw[{u.LEVELS}:], '/')) ELSE raw END AS segs, '' AS tpl FROM q),
+  CASE WHEN len(raw) > {_LEVELS} THEN list_append(raw[1:{_LEVELS - 1}], array_to_string(raw[{_LEVELS}:], '/')) ELSE raw END AS segs, '' AS tpl FROM q),
 {', '.join(levels)},
-leaf AS (SELECT host, tpl, sum(b) AS b, sum(a) AS a, regexp_replace(tpl, '^(.*)/[^/*]+((?:/\\*)*)$', '\\1/*\\2') AS wide FROM t{u.LEVELS} GROUP BY host, tpl),
+leaf AS (SELECT host, tpl, sum(b) AS b, sum(a) AS a, regexp_replace(tpl, '^(.*)/[^/*]+((?:/\\*)*)$', '\\1/*\\2') AS wide FROM t{_LEVELS} GROUP BY host, tpl),
 pri AS (SELECT (coalesce(sum(b), 0) + 1.0::DOUBLE) / (coalesce(sum(b), 0) + coalesce(sum(a), 0) + 2.0::DOUBLE) AS prior FROM leaf),
 h AS (SELECT host, sum(b)::DOUBLE AS hb, sum(a)::DOUBLE AS ha FROM leaf GROUP BY host),
 wd AS (SELECT host, wide, sum(b)::DOUBLE AS wb, sum(a)::DOUBLE AS wa FROM leaf GROUP BY ALL),
@@ -68,7 +72,7 @@ g AS (SELECT host, template, sum(b) AS b, sum(a) AS a FROM kt GROUP BY ALL),
 pu AS (SELECT host, template, (b + {u.HOST_WEIGHT}::DOUBLE * ((hb + {u.CORPUS_WEIGHT}::DOUBLE * prior) / (hb + ha + {u.CORPUS_WEIGHT}::DOUBLE))) / (b + a + {u.HOST_WEIGHT}::DOUBLE) AS purity FROM g JOIN h USING (host) CROSS JOIN pri)
 SELECT page_id, p.host, p.path, {_rule('rule').replace('host', 'p.host').replace('path', 'p.path')} AS rule,
   coalesce({_rule('verdict').replace('host', 'p.host').replace('path', 'p.path')}, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM p JOIN t{u.LEVELS} t ON t.host = p.host AND t.path = p.path JOIN kt ON kt.host = t.host AND kt.tpl = t.tpl JOIN pu ON pu.host = kt.host AND pu.template = kt.template"""
+FROM p JOIN t{_LEVELS} t ON t.host = p.host AND t.path = p.path JOIN kt ON kt.host = t.host AND kt.tpl = t.tpl JOIN pu ON pu.host = kt.host AND pu.template = kt.template"""
 
 
 def _op5() -> str:

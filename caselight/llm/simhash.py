@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_map, components, materialize, min_labels, raw, whole_groups
+from .common import column_map, components, discard, materialize, min_labels, raw, whole_groups
 
 RADIUS = 3
 WIDTH = 3
@@ -58,9 +58,11 @@ def fingerprints(texts: list[bytes], width: int = WIDTH) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; whole texts, one scan, no shuffle."""
-    fn = column_map(lambda texts: {"fp": fingerprints(texts)}, pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]), ["doc_id"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("t")).mapInArrow(fn, "doc_id long, fp long")
+    """(doc_id, th, fp) of every row; whole texts, one scan, no shuffle. ``th`` is the text's hash."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64())])
+    fn = column_map(lambda texts: {"fp": fingerprints(texts)}, schema, ["doc_id", "th"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), raw().alias("t"))
+    return rows.mapInArrow(fn, "doc_id long, th long, fp long")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -130,6 +132,24 @@ def fingerprint_links(uniq: DataFrame, radius: int = RADIUS, block: int = BLOCK)
     return keyed.mapInArrow(block_forest(radius), "a long, b long")
 
 
+def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, th, fp, component_id, head) of every row; ``head`` is the (doc_id, th) that stands for the group."""
+    spark = docs.sparkSession
+    fps = materialize(with_fingerprint(docs), "simhash-fp")
+    uniq = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(place()).alias("head")), "simhash-uniq")
+    comp = components(fingerprint_links(uniq, radius))
+    named = uniq.join(comp, uniq.fp == comp.node, "left").select("fp", "low", "head", F.coalesce("root", "fp").alias("root"))
+    low = named.groupBy("root").agg(F.min("low").alias("component_id"), F.min("head").alias("head"))
+    of = materialize(named.select("fp", "root").join(low, "root").select("fp", "component_id", "head"), "simhash-of")
+    discard(spark, uniq, comp)
+    return fps.join(of, "fp")
+
+
+def place():
+    """Order of rows in a group: by id, null ids last, then by the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint (16 hex digits), component_id`` and the signed ``fp``.
 
@@ -137,20 +157,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     (null if nothing else is in it); repeated rows stay repeated; an empty table gives an empty table. Extra
     columns are not read.
     """
-    fps = materialize(with_fingerprint(docs), "simhash-fp")
-    uniq = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-uniq")
-    comp = components(fingerprint_links(uniq, radius))
-    named = uniq.join(comp, uniq.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = materialize(named.join(low, "root").select("fp", "component_id"), "simhash-of")
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    return grouped(docs, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+
+
+def drop_others(docs: DataFrame, found: DataFrame, tag: str) -> DataFrame:
+    """``docs`` without the rows that ``found(doc_id, th, head)`` does not name as the head of their group.
+
+    Rows go by id and text, not by id alone, so another text under the same id stays. Rows that share both are one
+    document, and stay or go together.
+    """
+    drop = found.where(place() != F.col("head")).select(F.col("doc_id").alias("__drop_id"), F.col("th").alias("__drop_th")).distinct()
+    drop = materialize(drop, tag)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__drop_id")) & (F.xxhash64(docs["text"]) == F.col("__drop_th"))
+    return docs.join(drop.hint("merge"), same, "left_anti").select(*[docs[c] for c in docs.columns])
 
 
 def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents whose id names their group; rows with a null id stay. Columns are those of ``docs``.
+    """One document of each group: the one with the smallest id (null ids last; then by the text's hash).
 
-    Of several rows under the kept id all stay, as they are the same document to this operator.
+    Columns are those of ``docs``; see :func:`drop_others` for repeated ids and rows.
     """
-    found = near_duplicates(docs, radius)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return drop_others(docs, grouped(docs, radius), "simhash-drop")

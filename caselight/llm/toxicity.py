@@ -29,11 +29,14 @@ PER_CLASS = 3000
 LEXICON = 4096
 RUNS = 5000
 RUN_WORDS = 48
-#: A word labels tokens if its smoothed log-odds are so many deviations above zero.
-Z = 3.0
+#: A word labels tokens if its smoothed odds are so many deviations above four times the odds of the other class; the
+#: halves added to each count are the only prior, so that a word needs about 15 documents even if no other class has it.
+Z = 1.4
 LEAST_DOCS = 3
 DIM = 1 << 18
 SPAN = 0.5
+#: Bytes of a word that count, wherever words are counted, trained or scored.
+WORD_BYTES = 64
 #: Lengths of stems, in bytes, that may label words.
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
@@ -42,7 +45,7 @@ _EDGE = b".,;:!?\"'()[]{}<>|*#$%&-_/\\=+~`"
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return [w.strip(_EDGE) for w in text.lower().split()]
+    return [w.strip(_EDGE)[:WORD_BYTES] for w in text.lower().split()]
 
 
 def features(word: bytes) -> tuple[int, int, int, int]:
@@ -54,23 +57,27 @@ def keys(word: bytes) -> list[bytes]:
     return [b"w" + word, *(b"p" + word[:k] for k in STEMS if len(word) > k)]
 
 
-def _lexicon(train: DataFrame, totals: tuple[int, int]) -> set[bytes]:
-    """Words and stems by significance; counting runs on the executors, at most ``LEXICON`` come back."""
+def _lexicon(train: DataFrame) -> set[bytes]:
+    """Words and stems by significance; counting runs on the executors, at most ``LEXICON`` come back.
+
+    ``train`` has a row per document, so a word is in no more documents than there are of the class.
+    """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in it:
             for y, t in zip(batch.column("y").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                seen[y].update({k for w in set(words_of(t)) if 1 < len(w) <= 64 for k in keys(w)})
+                seen[y].update({k for w in set(words_of(t)) if len(w) > 1 for k in keys(w)})
         ws = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.array([seen[0][w] for w in ws], pa.int64()), pa.array([seen[1][w] for w in ws], pa.int64())], names=["w", "n0", "n1"])
 
-    n0, n1 = (float(max(1, x)) for x in totals)
+    found = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n0, n1 = (float(found.get(y, 0)) for y in (0, 1))
     c = train.select("y", "t").mapInArrow(count, "w binary, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     odds = F.log(a / (n1 + 1 - a + 0.5)) - F.log(b / (n0 + 1 - b + 0.5))
     z = (odds - F.log(F.lit(4.0))) / F.sqrt(1 / a + 1 / b)  # significantly more than four times the odds
-    rows = c.withColumn("z", z).where((F.col("n1") >= LEAST_DOCS) & (F.col("z") >= Z - 1.6 * (n1 < 200))).orderBy(F.desc("z"), "w").limit(LEXICON).collect()
+    rows = c.withColumn("z", z).where((F.col("n1") >= LEAST_DOCS) & (F.col("z") >= Z)).orderBy(F.desc("z"), "w").limit(LEXICON).collect()
     return {bytes(r["w"]) for r in rows}
 
 
@@ -81,7 +88,7 @@ def _runs(train: DataFrame, lexicon: set[bytes]) -> list[tuple[list[bytes], list
         for batch in it:
             rows = []
             for d, y, t in zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                ws = [w[:64] for w in words_of(t)]
+                ws = words_of(t)
                 for i in range(0, len(ws), RUN_WORDS):
                     part = ws[i : i + RUN_WORDS]
                     tags = bytes(1 if y and any(k in lexicon for k in keys(w)) else 0 for w in part)
@@ -200,29 +207,35 @@ class Chain:
                 out[i] = p[r, : lengths[r]]
         return out
 
-    def summary(self, texts: list[bytes]) -> np.ndarray:
-        """(texts, 4): one, expected toxic words (log), largest marginal, length (log)."""
-        x = np.zeros((len(texts), 4))
-        for i, p in enumerate(self.marginals(texts)):
+    def summary(self, ps: list[np.ndarray]) -> np.ndarray:
+        """(texts, 4) from marginals: one, expected toxic words (log), largest marginal, length (log)."""
+        x = np.zeros((len(ps), 4))
+        for i, p in enumerate(ps):
             x[i] = 1, np.log1p(p.sum()), p.max(initial=0), np.log1p(len(p)) / 10
         return x
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.summary(texts) @ self.curve, -40, 40)))
+    def scores(self, ps: list[np.ndarray]) -> np.ndarray:
+        """The documents' scores from their marginals."""
+        return 1 / (1 + np.exp(-np.clip(self.summary(ps) @ self.curve, -40, 40)))
 
     def spans(self, text: bytes) -> list[tuple[int, int, float]]:
-        """(start, end, probability) in bytes of each maximal run of words above ``SPAN``."""
-        p = self.marginals([text])[0]
-        found: list[list] = []
-        last = -2
-        for i, m in enumerate(re.finditer(rb"[^\x20\x09-\x0d]+", text)):
-            if p[i] >= SPAN:
-                if last == i - 1:
-                    found[-1][1], found[-1][2] = m.end(), max(found[-1][2], float(p[i]))
-                else:
-                    found.append([m.start(), m.end(), float(p[i])])
-                last = i
-        return [tuple(x) for x in found]
+        return spans(text, self.marginals([text])[0])
+
+
+def spans(text: bytes, p: np.ndarray) -> list[tuple[int, int, float]]:
+    """(start, end, probability) in bytes of each maximal run of words whose marginal reaches ``SPAN``."""
+    if p.max(initial=0) < SPAN:
+        return []
+    found: list[list] = []
+    last = -2
+    for i, m in enumerate(re.finditer(rb"[^\x20\x09-\x0d]+", text)):
+        if p[i] >= SPAN:
+            if last == i - 1:
+                found[-1][1], found[-1][2] = m.end(), max(found[-1][2], float(p[i]))
+            else:
+                found.append([m.start(), m.end(), float(p[i])])
+            last = i
+    return [tuple(x) for x in found]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
@@ -242,14 +255,13 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, lab
     """
     ids, totals = labelled_sample(labels, label, modulus, held, per_class)
     train = sampled_docs(docs, ids)
-    n = {y: min(per_class, totals.get(y, 0)) for y in (0, 1)}
-    lexicon = _lexicon(train, (n[0], n[1]))
+    lexicon = _lexicon(train)
     chain = Chain(*_train_chain(_runs(train, lexicon)))
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def summarise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            x = shared.value.summary(batch.column("t").to_pylist())
+            x = shared.value.summary(shared.value.marginals(batch.column("t").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(x[:, i]) for i in range(4))], names=["y", "x0", "x1", "x2", "x3"])
 
     rows = train.select("y", "t").mapInArrow(summarise, "y int, x0 double, x1 double, x2 double, x3 double").collect()  # a few numbers per sampled document
@@ -262,17 +274,18 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, lab
 
 
 def score(docs: DataFrame, chain: Chain, modulus: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted, and spans (byte offsets) of every row.
+    """doc_id, held_out, score, predicted, and the offending spans (byte offsets and probability) of every row.
 
     Defined results: null and empty texts are scored as texts without words; a null id is not held out; repeated rows
-    are scored alike. Extra columns are not read.
+    are scored alike and, when they train, count once (of several texts under one id the smallest). Extra columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(texts: list[bytes]) -> dict[str, list]:
-        s = shared.value.scores(texts)
-        spans = [[{"start": a, "end": b, "p": p} for a, b, p in shared.value.spans(t)] if v >= THRESHOLD else [] for t, v in zip(texts, s, strict=True)]
-        return {"score": s, "predicted": (s >= THRESHOLD).astype(np.int32), "spans": spans}
+        ps = shared.value.marginals(texts)
+        s = shared.value.scores(ps)
+        found = [[{"start": a, "end": b, "p": p} for a, b, p in spans(t, m)] for t, m in zip(texts, ps, strict=True)]
+        return {"score": s, "predicted": (s >= THRESHOLD).astype(np.int32), "spans": found}
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("spans", span)])
@@ -285,4 +298,4 @@ def score(docs: DataFrame, chain: Chain, modulus: int = 3, held: int = 1) -> Dat
 def drop_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
     """The documents that score below the threshold, all columns as they are; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    return keep_rows(docs, lambda texts: shared.value.scores(texts) < THRESHOLD)
+    return keep_rows(docs, lambda texts: shared.value.scores(shared.value.marginals(texts)) < THRESHOLD)

@@ -1,7 +1,8 @@
 """URL filters by a path-template tree; DataFrame functions only.
 
 Stated rules (host, path prefix) judge what they fit and label it. For the rest, each host grows a tree of path
-segments, level by level: below a node with many children, most of them rare, segments become the wildcard ``*``.
+segments, level by level, until no node is open: below a node with many children, most of them rare among the distinct
+paths, segments become the wildcard ``*``. How often a path occurs does not count, nor how deep it is.
 Sibling branches that differ in their last literal segment and whose labelled shares do not differ significantly are
 merged. A template is rejected when its labelled purity, smoothed towards its host's and the corpus' share of
 blocked pages, is over one half.
@@ -9,10 +10,12 @@ blocked pages, is over one half.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, spread_join
 
 #: The stated rules: host, path prefix, verdict.
 RULES = (
@@ -22,10 +25,8 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Levels of the tree; deeper segments stay together in the last one.
-LEVELS = 4
-#: A node is variable from so many children on, if a child has fewer pages than this on average.
-CHILDREN, PAGES_A_CHILD = 4, 3
+#: A node is variable from so many children on, if over half of them are rare, that is in fewer distinct paths than this.
+CHILDREN, RARE = 4, 3
 #: Siblings are alike within so many standard deviations; weights of the two priors.
 ALIKE = 1.96
 HOST_WEIGHT, CORPUS_WEIGHT = 2.0, 4.0
@@ -49,23 +50,38 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
-def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """``paths(host, path, n, ...)`` with its template ``tpl``, grown level by level.
+def templates(paths: DataFrame) -> DataFrame:
+    """``paths(host, path, ...)``, distinct by host and path, with the template ``tpl``, grown level by level.
 
-    Every level is one partial aggregation by (host, node, segment) and one join with the nodes' counts, which
-    AQE splits for a hot host.
+    Every level is one partial aggregation by (host, node, segment) and one join with the open nodes. A node is open if
+    enough distinct paths lead on below it to make it or a node below it variable; the others' paths are finished at
+    once, so the levels end with the last branching, not with the longest path.
     """
-    segs = F.split(F.regexp_replace("path", "^/", ""), "/", levels)
-    t = materialize(paths.withColumn("segs", segs).withColumn("tpl", F.lit("")), "url-0")
-    for level in range(levels):
-        t = t.withColumn("seg", F.get("segs", F.lit(level)))
-        kids = t.where("seg is not null").groupBy("host", "tpl", "seg").agg(F.sum("n").alias("n"))
-        nodes = kids.groupBy("host", "tpl").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kids"))
-        wild = nodes.where((F.col("kids") >= CHILDREN) & (F.col("all") < PAGES_A_CHILD * F.col("kids"))).select("host", "tpl", F.lit(True).alias("wild"))
-        t = t.join(wild, ["host", "tpl"], "left")
-        step = F.when(F.col("seg").isNull(), F.lit("")).when(F.col("wild"), F.lit("/*")).otherwise(F.concat(F.lit("/"), "seg"))
-        t = materialize(t.withColumn("tpl", F.concat("tpl", step)).drop("seg", "wild"), f"url-{level + 1}")
-    return t.drop("segs")
+    spark = paths.sparkSession
+    segs = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
+    done: list[DataFrame] = []
+    t = materialize(paths.withColumn("__url_segs", segs).withColumn("tpl", F.lit("")), "url-0")
+    columns, level = [*paths.columns, "tpl"], 0
+    while True:
+        rest = F.concat(F.lit("/"), F.array_join(F.slice("__url_segs", level + 1, F.greatest(F.size("__url_segs") - level, F.lit(0))), "/"))
+        ended = F.size("__url_segs") <= level
+        seg = F.get("__url_segs", F.lit(level)).alias("__url_seg")
+        kids = t.where(~ended).groupBy("host", "tpl", seg).agg(F.count(F.lit(1)).alias("__url_n"))
+        wild = (F.count(F.lit(1)) >= CHILDREN) & (2 * F.count_if(F.col("__url_n") < RARE) > F.count(F.lit(1)))
+        nodes = materialize(kids.groupBy("host", "tpl").agg(F.sum("__url_n").alias("__url_n"), wild.alias("__url_wild")), "url-nodes")
+        narrow = t.where(ended).select(*columns)
+        open_ = spread_join(t.where(~ended), nodes, ["host", "tpl"], "__url_n")
+        shut = open_.where(F.col("__url_n") < CHILDREN).select(*paths.columns, F.concat("tpl", rest).alias("tpl"))
+        done.append(materialize(narrow.union(shut), "url-done"))
+        step = F.when(F.col("__url_wild"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.get("__url_segs", F.lit(level))))
+        old, t = t, materialize(open_.where(F.col("__url_n") >= CHILDREN).select(*paths.columns, "__url_segs", F.concat("tpl", step).alias("tpl")), f"url-{level + 1}")
+        discard(spark, old, nodes)
+        level += 1
+        if not t.limit(1).count():
+            break
+    out = materialize(reduce(DataFrame.union, done), "url-templates")
+    discard(spark, t, *done)
+    return out
 
 
 def merge_key(tpl: Column) -> Column:
@@ -74,28 +90,35 @@ def merge_key(tpl: Column) -> Column:
 
 
 def template_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
-    """(host, path, template, purity) of every distinct host and path of ``pages(host, path)``."""
+    """(host, path, n, template, purity) of every distinct host and path of ``pages(host, path)``; ``n`` pages have it."""
+    spark = pages.sparkSession
     _, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     paths = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("v", verdict)
     paths = paths.withColumn("b", F.when(F.col("v") == "block", F.col("n")).otherwise(0)).withColumn("a", F.when(F.col("v") == "allow", F.col("n")).otherwise(0)).drop("v")
     t = templates(paths)
-    leaf = materialize(t.groupBy("host", "tpl").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).withColumn("wide", merge_key(F.col("tpl"))), "url-leaves")
+    leaf = t.groupBy("host", "tpl").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count(F.lit(1)).alias("n_paths"))
+    leaf = materialize(leaf.withColumn("wide", merge_key(F.col("tpl"))), "url-leaves")
     total = leaf.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a")).first()
     prior = (total["b"] + 1.0) / (total["b"] + total["a"] + 2.0)
-    hosts = leaf.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("a").alias("ha"))
-    wide = leaf.groupBy("host", "wide").agg(F.sum("b").alias("wb"), F.sum("a").alias("wa"))
-    k = leaf.join(wide, ["host", "wide"])
+    wide = materialize(leaf.groupBy("host", "wide").agg(F.sum("b").alias("wb"), F.sum("a").alias("wa"), F.count(F.lit(1)).alias("n")), "url-wide")
+    k = spread_join(leaf, wide, ["host", "wide"]).drop("n")
     m, w = F.col("b") + F.col("a"), F.col("wb") + F.col("wa")
     p = F.col("wb") / F.greatest(w, F.lit(1))
     off = F.col("b") - m * p
     alike = (m == 0) | (off * off <= ALIKE * ALIKE * m * p * (1.0 - p))
-    k = k.withColumn("template", F.when(alike, F.col("wide")).otherwise(F.col("tpl")))
-    merged = k.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).join(hosts, "host")
+    k = materialize(k.withColumn("template", F.when(alike, F.col("wide")).otherwise(F.col("tpl"))), "url-merged")
+    merged = materialize(k.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count(F.lit(1)).alias("n")), "url-verdicts")
+    hosts = materialize(merged.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("a").alias("ha"), F.count(F.lit(1)).alias("n")), "url-hosts")
     host_rate = (F.col("hb") + CORPUS_WEIGHT * prior) / (F.col("hb") + F.col("ha") + CORPUS_WEIGHT)
     purity = (F.col("b") + HOST_WEIGHT * host_rate) / (F.col("b") + F.col("a") + HOST_WEIGHT)
-    verdicts = merged.select("host", "template", purity.alias("purity"))
-    named = k.select("host", "tpl", "template").join(verdicts, ["host", "template"])
-    return t.select("host", "path", "tpl").join(named, ["host", "tpl"]).select("host", "path", "template", "purity")
+    verdicts = spread_join(merged.withColumnRenamed("n", "n_leaves"), hosts, ["host"]).select("host", "template", purity.alias("purity"), F.col("n_leaves").alias("n"))
+    verdicts = materialize(verdicts, "url-purity")
+    named = spread_join(k, verdicts, ["host", "template"]).select("host", "tpl", "template", "purity", F.col("n_paths").alias("n"))
+    named = materialize(named, "url-named")
+    out = spread_join(t.withColumnRenamed("n", "n_pages"), named, ["host", "tpl"]).select("host", "path", F.col("n_pages").alias("n"), "template", "purity")
+    out = materialize(out, "url-judged")
+    discard(spark, t, leaf, wide, k, merged, hosts, verdicts, named)
+    return out
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -108,6 +131,6 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     p = materialize(pages.select("page_id", host.alias("host"), path.alias("path")), "url-pages")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    out = p.join(template_verdicts(p, rules), ["host", "path"]).withColumn("rule", rule)
+    out = spread_join(p, template_verdicts(p, rules), ["host", "path"]).withColumn("rule", rule)
     method = F.when(F.col("purity") > 0.5, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce(verdict, method).alias("verdict"), "template", "purity")
