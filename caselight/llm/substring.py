@@ -1,15 +1,19 @@
 """Substring dedup by recompression: remove every word inside a window of words that also starts elsewhere.
 
-A text is a sequence of word symbols. Each round names maximal runs of one symbol, then pairs whose left symbol
-falls in one half of the alphabet and whose right symbol in the other. Names are content hashes, so equal runs and pairs
-get equal names in every task, document and round: naming is global without a dictionary to shuffle. The halves come
-from a bit of the name, so pairs never overlap and the parse of a stretch depends on that stretch and a symbol or
-so to each side; each symbol carries the exact reach of words that its existence depends on.
-
-A window's anchor is the longest symbol of any round whose reach lies in the window (ties: by name). Equal windows
-have equal anchors at equal offsets, so a window whose anchor occurs once is unique. The others, and the few that hold
-no such symbol, are verified by a 96-bit hash of all their words, grouped over the whole corpus. Exact: nothing
-is lost, and only hash collisions (2**-96 a pair) could remove more.
+A text is a sequence of word symbols. A level names maximal runs of one symbol, then pairs whose left symbol falls in one
+half of the alphabet and whose right symbol in the other, so pairs never overlap, and the parse of a stretch depends on
+that stretch and a symbol or so to each side; each symbol carries the exact reach of words that its existence depends on.
+Names follow from what they stand for, so equal runs and pairs get equal names in every task, document and round.
+
+Levels are grouped into Spark rounds. A round aggregates the names that its symbols got in all distinct texts into one
+table, which tells the shared symbols from those with one place in the corpus. A symbol whose reach lies in a window is
+interior to it, and equal windows have equal interior symbols: a window with an interior symbol that is not shared is
+unique and goes. Only texts with windows left take part in the next round, which names larger symbols.
+
+The windows that are left are verified by symbol identity and extension: the names of all their interior symbols, the
+words from the window's start to the first of them and from the last to the window's end, and 32 more bits over all words.
+They are counted over the corpus by partial aggregation. Exact: nothing is lost, and only hash collisions (2**-96 a
+pair) could remove more.
 """
 
 from __future__ import annotations
@@ -20,17 +24,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialize, raw, release
+from .common import batches_of, discard, materialize, raw, release, spread_join
 
 WINDOW = 35
-ROUNDS = 4
+#: Levels that each Spark round names.
+LEVELS = (5, 2)
+#: Reaches beyond this are all the same: no window holds them.
+FAR = 1 << 10
+#: Words that numpy works on at once.
+WORDS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FAR = np.int64(1) << 40
+_EVEN = np.uint64((1 << 64) - 2)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -77,132 +85,204 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(starts, offsets)
 
 
-def window_hashes(h: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit and a 32-bit hash of the ``width`` words from each start."""
-    a = mix(spans_hash(h, starts, starts + width, _P)).view(np.int64)
-    c = mix(spans_hash(mix(h), starts, starts + width, _Q))
-    return a, (c >> np.uint64(32)).astype(np.uint32).view(np.int32)
+class Symbols:
+    """The symbols of texts laid end to end: names (even), spans and reaches in words, and each word's text."""
 
+    def __init__(self, words: np.ndarray, ends: np.ndarray, name: np.ndarray, size: np.ndarray, before: np.ndarray, after: np.ndarray):
+        self.words, self.ends = words, ends  # ``ends``: where each text ends
+        self.doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        self.name, self.end = name, np.cumsum(size)
+        self.start = self.end - size
+        self.left, self.right = self.start - before, self.end + after
 
-def anchors(h: np.ndarray, offsets: np.ndarray, width: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """For each word position the anchor of the window from there: (length << 56 | name) and the anchor's start.
+    @classmethod
+    def of_words(cls, words: np.ndarray, offsets: np.ndarray) -> Symbols:
+        one, none = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
+        return cls(words, offsets[1:], words & _EVEN, one, none, none)
 
-    0 where the window holds no symbol of its own or would leave the text.
-    """
-    n = len(h)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    name, start, end = h, np.arange(n), np.arange(1, n + 1)
-    left, right = start.copy(), end.copy()  # reach
-    best, where = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    inside = np.arange(n) + width <= offsets[1:][doc] if n else np.zeros(0, bool)
-    begin = np.flatnonzero(inside)
-    for r in range(rounds):
-        d = doc[start]
-        m = len(name)
-        if m < 2:
-            break
-        joined = (d[1:] == d[:-1])  # neighbours in one text
-        lrch = np.where(np.concatenate([[False], joined]), np.concatenate([[0], left[:-1]]), -_FAR)
-        rrch = np.where(np.concatenate([joined, [False]]), np.concatenate([right[1:], [0]]), _FAR)
-        head = np.flatnonzero(np.concatenate([[True], ~(joined & (name[1:] == name[:-1]))]))
+    def _neighbours(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each symbol and the next are of one text, and the reaches of the symbols before and behind each."""
+        d = self.doc[self.start]
+        joined = d[1:] == d[:-1]
+        before = np.where(np.append(False, joined), np.append(0, self.left[:-1]), self.start - FAR)
+        behind = np.where(np.append(joined, False), np.append(self.right[1:], 0), self.end + FAR)
+        return joined, before, behind
+
+    def level(self, r: int) -> None:
+        """Name runs, then pairs; ``r`` deals the alphabet into halves."""
+        m = len(self.name)
+        if not m:
+            return
+        joined, before, behind = self._neighbours()
+        head = np.flatnonzero(np.append(True, ~(joined & (self.name[1:] == self.name[:-1]))))
         tail = np.append(head[1:], m)
         count = tail - head
-        name = np.where(count > 1, mix(name[head] * _Q + count.astype(np.uint64)), name[head])
-        start, end = start[head], end[tail - 1]
-        left, right = lrch[head], rrch[tail - 1]  # a run ends where its neighbours differ
-        d = doc[start]
-        m = len(name)
-        bit = (mix(name ^ np.uint64(r + 1)) >> np.uint64(63)).astype(bool)
-        joined = d[1:] == d[:-1]
+        name = self.name[head]
+        self.name = np.where(count > 1, mix(name * _Q + count.astype(np.uint64)) & _EVEN, name)
+        self.start, self.end = self.start[head], self.end[tail - 1]
+        self.left, self.right = before[head], behind[tail - 1]  # a run ends where its neighbours differ
+        m = len(self.name)
+        joined, before, behind = self._neighbours()
+        bit = (mix(self.name ^ np.uint64(2 * r + 1)) >> np.uint64(63)).astype(bool)
         pair = joined & ~bit[:-1] & bit[1:]
-        first = np.concatenate([pair, [False]])
-        second = np.concatenate([[False], pair])
-        # single left symbols must know the next one, single right symbols the one before
-        lrch = np.where(np.concatenate([[False], joined]), np.concatenate([[0], left[:-1]]), -_FAR)
-        rrch = np.where(np.concatenate([joined, [False]]), np.concatenate([right[1:], [0]]), _FAR)
-        left = np.where(~first & bit, np.minimum(left, lrch), left)
-        right = np.where(~second & ~bit, np.maximum(right, rrch), right)
+        first, second = np.append(pair, False), np.append(False, pair)
+        # a left symbol that stays single must know the next one, a right one the one before
+        left = np.where(~first & bit, np.minimum(self.left, before), self.left)
+        right = np.where(~second & ~bit, np.maximum(self.right, behind), self.right)
         keep = np.flatnonzero(~second)
         nxt = np.minimum(keep + 1, m - 1)
         two = first[keep]
-        name = np.where(two, mix(name[keep] * _P + mix(name[nxt] + np.uint64(0xABCD))), name[keep])
-        end = np.where(two, end[nxt], end[keep])
-        right = np.where(two, right[nxt], right[keep])
-        left, start = left[keep], start[keep]
-        # longest owned symbol of each window
-        length = np.minimum(end - start, 255).astype(np.uint64)
-        value = (length << np.uint64(56)) | (mix(name + length) >> np.uint64(8))
-        a = np.searchsorted(np.maximum.accumulate(left), begin, "left")
-        b = np.searchsorted(np.minimum.accumulate(right[::-1])[::-1], begin + width, "right")
-        some = np.flatnonzero(b > a)
-        if not len(some):
-            break
-        lo, hi = a[some], b[some]
-        log = np.log2(hi - lo).astype(np.int64)
-        top = np.arange(len(value))
-        got = np.zeros(len(some), np.int64)
-        for k in range(int(log.max()) + 1):
-            if k:
-                x, y = top[: len(top) - (1 << (k - 1))], top[1 << (k - 1) :]
-                top = np.where(value[x] >= value[y], x, y)
-            q = np.flatnonzero(log == k)
-            x, y = top[lo[q]], top[hi[q] - (1 << k)]
-            got[q] = np.where(value[x] >= value[y], x, y)
-        w = begin[some]
-        better = value[got] > best[w]
-        best[w[better]] = value[got[better]]
-        where[w[better]] = start[got[better]]
-    return best, where
-
-
-def _parse(width: int):
+        self.name = np.where(two, mix(self.name[keep] * _P + mix(self.name[nxt] + np.uint64(0xABCD))) & _EVEN, self.name[keep])
+        self.start, self.end = self.start[keep], np.where(two, self.end[nxt], self.end[keep])
+        self.left, self.right = left[keep], np.where(two, right[nxt], right[keep])
+
+    def starts(self, width: int) -> np.ndarray:
+        """For each word whether a window from there stays in its text."""
+        return np.arange(len(self.words)) + width <= self.ends[self.doc] if len(self.words) else np.zeros(0, bool)
+
+    def interior(self, alive: np.ndarray, width: int) -> np.ndarray:
+        """For each symbol whether it is interior to a window that is ``alive``."""
+        seen = np.append(0, np.cumsum(alive))
+        lo, hi = np.clip(self.right - width, 0, len(alive)), np.clip(self.left + 1, 0, len(alive))
+        return (hi > lo) & (seen[hi] > seen[lo])
+
+    def without(self, dead: np.ndarray, alive: np.ndarray, width: int) -> np.ndarray:
+        """``alive`` without the windows that have a ``dead`` symbol as an interior one."""
+        mark = np.zeros(len(alive) + 1, np.int64)
+        lo, hi = np.maximum(self.right[dead] - width, 0), self.left[dead] + 1
+        np.add.at(mark, lo, 1)
+        np.add.at(mark, hi, -1)
+        return alive & (np.cumsum(mark)[:-1] == 0)
+
+    def keys(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """64 bits by symbol identity and extension, and 32 bits over all words, of the windows from each of ``at``."""
+        till = at + width
+        a = np.searchsorted(np.maximum.accumulate(self.left), at, "left")
+        b = np.searchsorted(np.minimum.accumulate(self.right[::-1])[::-1], till, "right")
+        some = b > a
+        inner, last = np.minimum(a, len(self.name) - 1), np.maximum(b - 1, 0)
+        from_, to = np.where(some, self.start[inner], till), np.where(some, self.end[last], till)
+        names = np.where(some, mix(spans_hash(self.name, np.where(some, a, 0), np.where(some, b, 0), _P)), np.uint64(0))
+        k = mix(spans_hash(self.words, at, from_, _P) + (from_ - at).astype(np.uint64)) + names * _Q
+        k = mix(k) * _P + mix(spans_hash(self.words, to, till, _P) + (till - to).astype(np.uint64))
+        c = mix(spans_hash(mix(self.words), at, till, _Q))
+        return mix(k), (c >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+_LISTS = {"words": pa.int64(), "name": pa.int64(), "size": pa.int32(), "before": pa.int32(), "after": pa.int32(), "alive": pa.int32(), "ask": pa.int64()}
+_SCHEMA = "words array<long>, name array<long>, size array<int>, before array<int>, after array<int>, alive array<int>, ask array<long>"
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    values = values.view(np.int64) if values.dtype == np.uint64 else values
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, kind))
+
+
+def _state(x: Symbols, alive: np.ndarray, width: int, pick: np.ndarray) -> dict[str, pa.Array]:
+    """Columns of the texts in ``pick``: their words, symbols, starts of live windows, and the names to ask for.
+
+    A name's lowest bit tells whether the text has it twice.
+    """
+    n = len(x.ends)
+    d = x.doc[x.start] if len(x.start) else np.zeros(0, np.int64)
+    per = np.bincount(d, minlength=n)
+    begin = np.append(0, x.ends[:-1])
+    mark = np.flatnonzero(alive)
+    edge = np.flatnonzero(np.append(True, (np.diff(mark) > 1) | (np.diff(x.doc[mark]) > 0))) if len(mark) else np.zeros(0, int)
+    lo, hi = mark[edge], mark[np.append(edge[1:], len(mark)) - 1] if len(mark) else mark
+    spans = np.stack([lo, hi], 1).reshape(-1) - np.repeat(begin[x.doc[lo]], 2) if len(mark) else mark
+    inner = np.flatnonzero(x.interior(alive, width))
+    order = np.lexsort((x.name[inner], d[inner]))
+    dn, nn = d[inner][order], x.name[inner][order]
+    first = np.flatnonzero(np.append(True, (dn[1:] != dn[:-1]) | (nn[1:] != nn[:-1]))) if len(dn) else np.zeros(0, int)
+    twice = np.diff(np.append(first, len(dn))) > 1
+    full = {
+        "words": _lists(x.words, np.diff(x.ends, prepend=0), pa.int64()), "name": _lists(x.name, per, pa.int64()), "size": _lists(x.end - x.start, per, pa.int32()),
+        "before": _lists(np.minimum(x.start - x.left, FAR), per, pa.int32()), "after": _lists(np.minimum(x.right - x.end, FAR), per, pa.int32()),
+        "alive": _lists(spans, 2 * np.bincount(x.doc[lo], minlength=n) if len(mark) else np.zeros(n, int), pa.int32()),
+        "ask": _lists(nn[first] | twice.astype(np.uint64), np.bincount(dn[first], minlength=n), pa.int64()),
+    }
+    return {k: v.take(pa.array(pick)) for k, v in full.items()}
+
+
+def _parse(width: int, levels: int):
+    """Texts to the state of the first round."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part, texts in batches_of(batch, limit=2_000_000):
-                h, offsets = word_hashes(texts)
-                best, where = anchors(h, offsets, width)
-                names, lasts = [], []
-                for a, b in zip(offsets, offsets[1:], strict=False):
-                    v, at = best[a : max(a, b - width + 1)], where[a : max(a, b - width + 1)]
-                    last = np.flatnonzero(np.append((v[1:] != v[:-1]) | (at[1:] != at[:-1]), True)) if len(v) else np.zeros(0, int)
-                    names.append(v[last].view(np.int64))
-                    lasts.append(last.astype(np.int32))
-                keep = [batch.column(k).slice(part.start, part.stop - part.start) for k in ("doc_id", "h1", "h2")]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(np.diff(offsets).astype(np.int32)), pa.array(names, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.int32()))], names=["doc_id", "h1", "h2", "n_words", "names", "lasts"])
+                x = Symbols.of_words(*word_hashes(texts))
+                for r in range(levels):
+                    x.level(r)
+                long = np.flatnonzero(np.diff(x.ends, prepend=0) >= width)
+                state = _state(x, x.starts(width), width, long)
+                keep = [batch.column(k).slice(part.start, part.stop - part.start).take(pa.array(long)) for k in ("h1", "h2", "copies")]
+                yield pa.RecordBatch.from_arrays([*keep, *state.values()], names=["h1", "h2", "copies", *state])
+
+    return run
+
+
+def _loaded(it: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, Symbols, np.ndarray]]:
+    """(rids, symbols, live window starts) of a state joined with its ``shared`` names, some texts at a time."""
+    for batch in it:
+        sizes = np.diff(batch.column("words").offsets.to_numpy())
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes) // WORDS, prepend=0)) if len(sizes) else []
+        for a, b in zip([0, *cut], [*cut, len(batch)], strict=True):
+            if a == b:
+                continue
+            part = batch.slice(a, b - a)
+            col = {k: part.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for k in ("words", "name", "size", "before", "after", "alive", "shared")}
+            ends = np.cumsum(sizes[a:b])
+            x = Symbols(col["words"].view(np.uint64), ends, col["name"].view(np.uint64), col["size"], col["before"], col["after"])
+            spans = col["alive"].reshape(-1, 2)
+            own = np.diff(part.column("alive").offsets.to_numpy()) // 2
+            base = np.repeat(ends - sizes[a:b], own)
+            mark = np.zeros(len(x.words) + 1, np.int64)
+            np.add.at(mark, spans[:, 0] + base, 1)
+            np.add.at(mark, spans[:, 1] + base + 1, -1)
+            alive = np.cumsum(mark)[:-1] > 0
+            asked = x.interior(alive, width)
+            dead = asked & ~np.isin(x.name, col["shared"].view(np.uint64))
+            yield part.column("rid"), x, x.without(dead, alive, width)
+
+
+def _go_on(width: int, done: int, levels: int):
+    """The state of the next round: texts with live windows, their symbols named for ``levels`` more levels."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rid, x, alive in _loaded(it, width):
+            pick = np.unique(x.doc[alive])
+            for r in range(done, done + levels):
+                x.level(r)
+            state = _state(x, alive, width, pick)
+            yield pa.RecordBatch.from_arrays([rid.take(pa.array(pick)), *state.values()], names=["rid", *state])
 
     return run
 
 
 def _windows(width: int):
+    """(w1, rest, rid) of every live window; ``rest`` packs the other 32 bits, the start, and whether its own text repeats it."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for part, texts in batches_of(batch, limit=2_000_000):
-                rid = batch.column("rid").slice(part.start, part.stop - part.start).to_numpy()
-                ranges = batch.column("ranges").slice(part.start, part.stop - part.start).to_pylist()
-                h, offsets = word_hashes(texts)
-                at, of = [], []
-                for i, rs in enumerate(ranges):
-                    n = max(0, offsets[i + 1] - offsets[i] - width + 1)
-                    mark = np.zeros(n + 1, np.int32)
-                    for x in rs:
-                        mark[x["a"]] += 1
-                        mark[min(n, x["b"] + 1)] -= 1
-                    s = np.flatnonzero(np.cumsum(mark)[:n] > 0)
-                    at.append(s)
-                    of.append(np.full(len(s), i))
-                s, i = np.concatenate(at), np.concatenate(of)
-                w1, w2 = window_hashes(h, s + offsets[i], width)
-                # windows that a text itself repeats are settled here; all but the first go on under keys of their own,
-                # so that no key has more rows than there are texts
-                order = np.lexsort((s, w2, w1, i))
-                same = (np.diff(i[order]) == 0) & (np.diff(w1[order]) == 0) & (np.diff(w2[order]) == 0)
-                later, own = np.zeros(len(s), bool), np.zeros(len(s), bool)
-                later[order[1:]] = same
-                own[order[1:]] = same
-                own[order[:-1]] |= same
-                w1 = np.where(later, mix(w1.view(np.uint64) + rid[i].view(np.uint64) * _P + s.astype(np.uint64) * _Q).view(np.int64), w1)
-                rest = (w2.astype(np.int64) << 32) | (s.astype(np.int64) << 1) | own  # one number: fewer bytes to shuffle
-                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(rest), pa.array(rid[i])], names=["w1", "rest", "rid"])
+        for ids, x, alive in _loaded(it, width):
+            at = np.flatnonzero(alive)
+            if not len(at):
+                continue
+            rid = ids.to_numpy()
+            w1, w2 = x.keys(at, width)
+            i = x.doc[at]
+            s = at - (x.ends - np.diff(x.ends, prepend=0))[i]
+            # windows that a text itself repeats are settled here; all but the first go on under keys of their own,
+            # so that no key has more rows than there are texts
+            order = np.lexsort((s, w2, w1, i))
+            same = (np.diff(i[order]) == 0) & (np.diff(w1[order]) == 0) & (np.diff(w2[order]) == 0)
+            later, own = np.zeros(len(s), bool), np.zeros(len(s), bool)
+            later[order[1:]] = same
+            own[order[1:]] = same
+            own[order[:-1]] |= same
+            w1 = np.where(later, mix(w1 + rid[i].view(np.uint64) * _P + s.astype(np.uint64) * _Q), w1).view(np.int64)
+            rest = (w2.astype(np.int64) << 32) | (s.astype(np.int64) << 1) | own  # one number: fewer bytes to write
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(rest), pa.array(rid[i])], names=["w1", "rest", "rid"])
 
     return run
 
@@ -236,37 +316,59 @@ def _remove(width: int, with_text: bool):
     return run
 
 
-def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def shared_names(state: DataFrame) -> DataFrame:
+    """(rid, shared): of the names that each text asks for those that occur elsewhere, too, or twice in it.
+
+    The round's table has one row a name; hot names, which many texts ask for, are spread by :func:`spread_join`.
+    """
+    spark = state.sparkSession
+    asked = state.select("rid", F.explode("ask").alias("a")).select("rid", F.col("a").bitwiseAND(F.lit(-2)).alias("name"), (F.col("a") % 2 != 0).alias("twice"))
+    names = asked.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("name", "n")
+    names = materialize(names, "sub-names")
+    found = spread_join(asked.select("rid", "name"), names, ["name"]).groupBy("rid").agg(F.collect_list("name").alias("shared"))
+    found = materialize(found, "sub-shared")
+    discard(spark, names)
+    return found
+
+
+def _with_shared(state: DataFrame, shared: DataFrame) -> DataFrame:
+    """Every text of the state with its shared names; merged at every size, as both grow with the corpus."""
+    s = state.drop("ask").join(shared.hint("merge"), "rid", "left")
+    return s.withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
+
+
+def repeated_windows(docs: DataFrame, width: int = WINDOW, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(h1, h2, every, starts): per distinct text that has any, the starts of its repeated windows.
 
-    ``every``: the text occurs in several rows, so all its windows do. Rows of one text under one id can reach the
-    verification twice; they are copies, so their windows do repeat. Texts are merged by their hash at every size: what
-    is found grows with the corpus.
+    ``every``: the text occurs in several rows, so all its windows do. Texts are merged by their hash at every size:
+    what is found grows with the corpus.
     """
-    parsed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), raw().alias("t")).mapInArrow(_parse(width), "doc_id long, h1 long, h2 long, n_words int, names array<long>, lasts array<int>")
-    parsed = materialize(parsed.where(F.col("n_words") >= width).withColumn("rid", F.monotonically_increasing_id()), "sub-parsed")
     spark = docs.sparkSession
-    reps = materialize(parsed.groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "sub-texts")
-    each = parsed.select("rid", "h1", F.explode(F.arrays_zip("names", "lasts", F.concat(F.array(F.lit(-1)), F.col("lasts")).alias("before"))).alias("x"))
-    each = each.select("rid", "h1", F.col("x.names").alias("name"), (F.col("x.before") + 1).alias("a"), F.col("x.lasts").alias("b")).where("b is not null")
-    place = F.xxhash64("h1", "b")  # of copies the same
-    often = each.where("name <> 0").groupBy("name").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("name")
-    often = materialize(often, "sub-often")  # joined as a table, so that AQE can split a hot name
-    cand = each.where("name <> 0").join(often, "name", "left_semi").select("rid", "a", "b").union(each.where("name = 0").select("rid", "a", "b"))
-    ranges = cand.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).join(reps, "rid")
-    ranges = materialize(ranges.select("rid", F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("doc_id").alias("r_doc"), "copies", "ranges"), "sub-ranges")
-    release(spark, parsed, often)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
-    texts = texts.join(ranges.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("r_doc")))
-    # of texts that have copies all windows are known to repeat; their own rows only vouch for others
-    win = texts.select("rid", raw().alias("t"), "ranges").mapInArrow(_windows(width), "w1 long, rest long, rid long")
-    win = win.repartition("w1").select("w1", F.shiftright("rest", 32).alias("w2"), F.shiftright(F.col("rest").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int").alias("s"), (F.col("rest") % 2 != 0).alias("own"), "rid")
-    again = F.col("own") | (F.count(F.lit(1)).over(W.partitionBy("w1", "w2")) > 1)
-    hits = win.withColumn("again", again).where("again").groupBy("rid").agg(F.collect_list("s").alias("starts"))
+    texts = docs.select(*text_key(), raw().alias("t")).where(F.length("t") >= 2 * width - 1)
+    texts = texts.groupBy("h1", "h2").agg(F.any_value("t").alias("t"), F.count(F.lit(1)).alias("copies"))
+    state = texts.mapInArrow(_parse(width, levels[0]), f"h1 long, h2 long, copies long, {_SCHEMA}")
+    state = materialize(state.withColumn("rid", F.monotonically_increasing_id()), "sub-state")
+    release(spark)
+    reps = materialize(state.select("rid", "h1", "h2", "copies"), "sub-texts")
+    state_of, done = state.drop("h1", "h2", "copies"), levels[0]
+    for more in levels[1:]:
+        shared = shared_names(state_of)
+        release(spark)
+        nxt = materialize(_with_shared(state_of, shared).mapInArrow(_go_on(width, done, more), f"rid long, {_SCHEMA}"), "sub-state")
+        release(spark, state, shared)
+        state = state_of = nxt
+        done += more
+    shared = shared_names(state_of)
+    win = _with_shared(state_of, shared).mapInArrow(_windows(width), "w1 long, rest long, rid long")
+    win = materialize(win.select("w1", F.shiftright("rest", 32).alias("w2"), F.shiftright(F.col("rest").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int").alias("s"), (F.col("rest") % 2 != 0).alias("own"), "rid"), "sub-windows")
+    release(spark, state, shared)
+    many = materialize(win.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sub-many")
+    again = spread_join(win.where("not own"), many, ["w1", "w2"]).select("rid", "s").union(win.where("own").select("rid", "s"))
+    hits = again.groupBy("rid").agg(F.collect_list("s").alias("starts"))
     found = reps.join(hits, "rid", "left").where((F.col("copies") > 1) | F.col("starts").isNotNull())
     every = F.col("copies") > 1
     found = materialize(found.select("h1", "h2", every.alias("every"), F.when(~every, F.col("starts")).alias("starts")), "sub-found")
-    release(spark, reps, ranges)
+    release(spark, reps, win, many)
     return found
 
 

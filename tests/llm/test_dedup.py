@@ -140,18 +140,45 @@ def test_substring_dedup(corpus, empty, width):
     assert substring.remove_repeats(empty, width).count() == 0
 
 
-def test_equal_windows_have_equal_anchors():
+def parsed(texts, levels):
+    x = substring.Symbols.of_words(*substring.word_hashes(texts))
+    for r in range(levels):
+        x.level(r)
+    return x
+
+
+@pytest.mark.parametrize("levels", [1, 3, 5, 7])
+def test_windows_are_equal_as_their_symbols_are(levels):
     rng = np.random.default_rng(4)
     part = b" ".join(rng.choice([b"a", b"b", b"c", b"dd", b"the"], 80))
     noise = [b" ".join(rng.choice([b"a", b"b", b"q", b"r"], n)) for n in (50, 70, 33, 90)]
-    texts = [noise[0] + b" " + part + b" " + noise[1], noise[2] + b" " + part, part + b" " + noise[3], b"z " * 200]
-    h, off = substring.word_hashes(texts)
-    best, where = substring.anchors(h, off, 35)
-    groups = defaultdict(set)
-    for a, b in zip(off, off[1:], strict=False):
-        for s in range(a, b - 34):
-            groups[tuple(h[s : s + 35].tolist())].add((int(best[s]), int(where[s] - s) if best[s] else None))
-    assert all(len(v) == 1 for v in groups.values())
+    texts = [noise[0] + b" " + part + b" " + noise[1], noise[2] + b" " + part, part + b" " + noise[3], b"z " * 200, b"", b"x y " * 60]
+    x = parsed(texts, levels)
+    alive = x.starts(35)
+    at = np.flatnonzero(alive)
+    words = [w for t in texts for w in t.split()]
+    by_words, by_key, inner = defaultdict(set), defaultdict(set), defaultdict(set)
+    for s, k in zip(at, zip(*(v.tolist() for v in x.keys(at, 35)), strict=True), strict=True):
+        w = tuple(words[s : s + 35])
+        by_words[w].add(k)
+        by_key[k].add(w)
+        own = (x.left >= s) & (x.right <= s + 35)
+        inner[w].add(tuple(zip(x.name[own].tolist(), (x.start[own] - s).tolist(), strict=True)))
+    assert all(len(v) == 1 for d in (by_words, by_key, inner) for v in d.values()) and len(by_words) < len(at)
+    assert (x.interior(alive, 35) == [((x.left[i] >= at) & (x.right[i] <= at + 35)).any() for i in range(len(x.name))]).all()
+    dead = np.flatnonzero(x.interior(alive, 35))[::7]
+    gone = {s for i in dead for s in at if x.left[i] >= s and x.right[i] <= s + 35}
+    assert set(np.flatnonzero(x.without(dead, alive, 35))) == set(at) - gone
+    if levels > 3:  # symbols grow
+        assert np.diff(np.append(x.start, len(words))).mean() > 2
+
+
+def test_only_shared_symbols_reveal_repeats(spark, corpus, monkeypatch):
+    df, _ = corpus
+    lost = lambda: sum(r.n_removed for r in substring.remove_repeats(df.dropDuplicates(["text"])).collect())
+    some = lost()
+    monkeypatch.setattr(substring, "shared_names", lambda state: state.select("rid", F.array().cast("array<long>").alias("shared")).transform(lambda d: common.materialize(d, "none")))
+    assert some > 100 and lost() < some  # windows without an interior symbol alone are left
 
 
 def vectors(spark):
