@@ -28,8 +28,8 @@ from .common import batches_of, keep_rows, materialize, raw
 
 #: Edits allowed as a share of an item's characters.
 ERROR_RATE = 0.1
-#: Items with fewer words say too little for edits: they have to be there as they are, as whole words; where scripts have
-#: no spaces, two characters are a word.
+#: Items with fewer words say too little for edits: they have to be there as they are, with a blank, a sign or an
+#: end of the text on both sides; where scripts have no spaces, two characters are a word.
 LEAST_WORDS = 5
 WORD_CHARS = 2
 #: Characters of items that one automaton holds; more items are searched in further passes.
@@ -108,7 +108,7 @@ class Matcher:
         self.trie = ahocorasick.Automaton()
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
         self.cuts = [cuts_of(item) for _, item in items]
-        self.whole = [words_of(item) < LEAST_WORDS and not _UNSPACED.search(item) for _, item in items]
+        self.whole = [words_of(item) < LEAST_WORDS for _, item in items]
         for i, (_, item) in enumerate(items):
             for k, (a, b) in enumerate(pairwise(self.cuts[i])):
                 at[item[a:b]].append((i, k))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from caselight.llm import langid, quality, queries, toxicity
 
@@ -125,16 +127,106 @@ def test_language_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_language_counts_equal_brute_force(spark):
-    texts = ["abc", "ABC d", "", "größe"]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    model = langid.fit(docs, modulus=1, held=5)
-    want = np.zeros(langid.BUCKETS)
-    for t in texts:
-        for g in langid.grams(t.encode()):
-            want[g] += 1
-    p = want + langid.ALPHA
-    assert np.allclose(model.log[:, 0], np.log(p / p.sum()), atol=1e-4)
+def brute_grams(text):
+    """Buckets of the n-grams, one character after the other."""
+    s, found = " ".join([""] + text.lower().split() + [""])[(not text[:1].isspace()) :], []
+    s = s if text[-1:].isspace() else s[:-1]
+    for n in langid.LENGTHS:
+        for i in range(len(s) - n + 1):
+            h = 0
+            for k, c in enumerate(s[i : i + n]):
+                h = (h * 0x01000193 + ord(c) + k + 1) % (1 << 32)
+            found.append((h * 0x9E3779B1) % (1 << 32) >> 17)
+    return found
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_language_predictions_equal_brute_force(spark, block):
+    rows = [("the cat and the dog", "en"), ("THE end of it all", "en"), ("der Hund und die Katze", "de"), ("größe über alles", "de"), ("বাংলা ভাষা", "bn"), ("le chat et le chien", "fr"), ("বই পড়া", "bn"), ("", "fr")]
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, modulus=1, held=5, block=block)
+    asked = ["the dog", "und", "ভাষা", "chien", "x", "a  b\n", "", "ﬁne İstanbul"]
+    langs = sorted({g for _, g in rows})
+    assert model.langs == langs and len(model.blocks) == (1 if block > 3 else 2)
+    counts = {g: Counter(b for t, x in rows if x == g for b in brute_grams(t)) for g in langs}
+    for t, got in zip(asked, langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect(), strict=True):
+        if not any(c.isalpha() for c in t):
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        log = []
+        for g in langs:
+            total = sum(counts[g].values()) + langid.BUCKETS * langid.ALPHA
+            log.append(math.log(sum(x == g for _, x in rows)) + sum(math.log((counts[g][b] + langid.ALPHA) / total) for b in brute_grams(t)))
+        p = np.exp(np.array(log) - max(log))
+        assert got.lang_pred == langs[int(p.argmax())] and got.score == pytest.approx(p.max() / p.sum(), abs=1e-3)
+
+
+def test_only_letters_are_letters():
+    assert not any(langid.has_letter(t.encode()) for t in ("½ ² ① Ⅷ", "12_3", "", "\u0301", "!?")) and all(langid.has_letter(t.encode()) for t in ("½a", "ক", "ʰ", "\u01c5"))
+
+
+def test_repeated_rows_train_once(spark):
+    rows = [(i, "common " + " ".join(f"w{(i * 7 + k) % 50}" for k in range(20)) + (" vile rotten nasty" if i % 2 else ""), "x") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(70)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string, y string")
+    many = spark.createDataFrame(rows + rows[1:2] * 40 + rows[:1] * 3, "doc_id long, text string, y string")
+    found = [{r.doc_id: round(r.score, 9) for r in toxicity.score(once, toxicity.fit(d, labels, modulus=1, held=5)).collect()} for d in (once, many)]
+    assert found[0] == found[1] and max(found[0].values()) > 0.5
+
+
+def test_offsets_are_the_runs_of_likely_words():
+    chain = toxicity.Chain(np.zeros(toxicity.DIM, np.float32), -3.0, np.zeros((2, 2)))
+    for w in (b"vile", b"nasty"):
+        chain.weights[list(toxicity.features(w))] = 3.0
+    texts = ["  Vile, nasty!\tw1 größe vile\n".encode(), b"", b"w1 w2", b"x " * 300 + b"NASTY"]
+    for t, p in zip(texts, chain.marginals(texts), strict=True):
+        words, at = [], 0
+        for w in t.split():
+            at = t.index(w, at)
+            words.append((at, at + len(w)))
+            at += len(w)
+        u = np.array([9.0 if t[a:b].lower().strip(b",!") in (b"vile", b"nasty") else -3.0 for a, b in words])
+        assert np.allclose(p, 1 / (1 + np.exp(-u)), atol=1e-3)  # without transitions words are independent
+        want, i = [], 0
+        while i < len(words):
+            j = i
+            while j < len(words) and p[j] >= 0.5:
+                j += 1
+            if j > i:
+                want.append((words[i][0], words[j - 1][1], pytest.approx(max(p[i:j]))))
+            i = max(j, i + 1)
+        assert chain.spans(t) == want
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (120, quality.N_FEATURES)).astype(float)
+    y = (rng.random(120) < 0.2 + 0.1 * x[:, 4]).astype(float)
+    w = rng.random(120) + 0.5
+    m = quality.boost(x, y, w)
+    p = (w * y).sum() / w.sum()
+    g, h = w * (y - p), w * p * (1 - p)
+    gain = lambda s: g[s].sum() ** 2 / (h[s].sum() + quality.RIDGE)
+    best = max((gain(x[:, j] <= c) + gain(x[:, j] > c) - gain(x[:, j] < 9), -j) for j in range(x.shape[1]) for c in range(5)
+               if min(h[x[:, j] <= c].sum(), h[x[:, j] > c].sum()) >= quality.LEAST_WEIGHT / 8)
+    j, c = m.feature[0][0], m.cut[0][0]
+    assert gain(x[:, j] <= c) + gain(x[:, j] > c) - gain(x[:, j] < 9) == pytest.approx(best[0])
+
+
+def test_statistics_of_small_texts():
+    s = quality.statistics(b"Ab c. Ab\n\nx1")
+    assert s[0] == pytest.approx(math.log1p(12)) and s[10] == pytest.approx(math.log1p(4)) and s[11] == pytest.approx(7 / 4 + 0.25)
+    assert s[14] == 3 / 4 and s[15] == 2 / 4 and s[17] == 2 / 4 and s[19] == 1 and s[20] == 1 / 4 and s[21] == 2 / 4 and s[22] == 1
+    assert not quality.statistics(b"").any() and quality.statistics(b" \n")[10] == 0
+
+
+def test_quality_odd_rows(spark):
+    docs, labels = corpus_of(spark, 60)
+    clash = docs.withColumn("held_out", F.lit("x")).withColumn("t", F.lit(1))
+    got = quality.score(clash, quality.fit(clash, labels)).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= quality.THRESHOLD) for r in got)
+    same = [r.score for r in got if r.doc_id == 0]
+    assert len(same) == 2 and same[0] == same[1] and all(r.held_out is False for r in got if r.doc_id is None)
 
 
 def test_trees_walk_like_recursion():

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from caselight.llm import common, embdedup, linededup, simhash, substring
+from caselight.llm import common, embdedup, linededup, shingledup, simhash, substring
 
 
 def union_find(nodes, links):
@@ -121,6 +121,46 @@ def test_line_dedup(corpus, empty):
     assert got.columns == [*df.columns, "n_lines", "n_removed"] and linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_with_its_own_names_as_columns(spark):
+    import re
+    from pathlib import Path
+
+    names = sorted(set(re.findall(r'"([a-z_]+)"', Path(linededup.__file__).read_text())) - {"doc_id", "text", "merge", "left"} | {"gone", "ps"})
+    names = [n for n in names if not n.startswith("__line_")]
+    df = spark.createDataFrame([(i, "a b\nc d\ne f\ng h" if i < 3 else "x\ny") for i in range(5)], "doc_id long, text string")
+    got = linededup.dedup_lines(df.select("*", *[F.lit(7).alias(n) for n in names])).collect()
+    assert {(r.doc_id, r.n_removed, r.text) for r in got} == {(0, 0, "a b\nc d\ne f\ng h"), (1, 4, ""), (2, 4, ""), (3, 0, "x\ny"), (4, 0, "x\ny")}
+
+
+@pytest.mark.parametrize("k,w", [(1, 1), (2, 2), (1, 3), (3, 4)])
+def test_selected_fingerprints(spark, k, w):
+    """Every window has its selected gram, fewer rows than windows go on, and without them nothing is found."""
+    rng = random.Random(3)
+    docs = [[f"l{rng.randrange(9)}" for _ in range(n)] for n in (0, 1, 3, 5, 6, 30, 200)]
+    df = spark.createDataFrame([(i, "\n\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = linededup.fingerprints(df, k, w).collect()
+    covered = Counter((r.doc_id, s) for r in got for s in range(r.lo, r.hi + 1))
+    assert covered == {(i, s): 1 for i, d in enumerate(docs) for s in range(1, len(d) - k - w + 3)}
+    assert all(r.lo <= r.at <= r.lo + w - 1 and r.hi <= r.at <= r.hi + w - 1 and len(r.around) == r.hi - r.lo + k + w - 1 for r in got)
+    assert len({(r.doc_id, r.at) for r in got}) == len(got) and (w == 1 or len(got) < 0.9 * len(covered))
+    # brute force: a line goes if a window with it stands earlier
+    first, gone = {}, defaultdict(set)
+    for i, d in enumerate(docs):
+        for s in range(len(d) - k - w + 2):
+            if first.setdefault(tuple(d[s : s + k + w - 1]), (i, s)) != (i, s):
+                gone[i] |= set(range(s, s + k + w - 1))
+    assert {r.doc_id: r.n_removed for r in linededup.dedup_lines(df, k, w).collect()} == {i: len(gone[i]) for i in range(len(docs))}
+
+
+def test_rows_go_not_ids(spark):
+    text, own = "one two three four five six seven eight nine ten", "quite another text of its own that nobody else has written down"
+    rows = [(3, text), (5, own), (5, text), (None, text), (None, "rows without an id keep what only they have to say here"), (7, "same id"), (7, "same  id"), (9, own)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, th long")
+    for keep in (simhash.keep_representatives, shingledup.keep_representatives):
+        got = sorted(str(r.doc_id) + r.text for r in keep(df).collect())
+        assert len(got) == 4 and "3" + text in got and "5" + own in got and sum(g.startswith("7same") for g in got) == 1, got
+
+
 def test_line_dedup_runs_no_python(corpus):
     plan = linededup.dedup_lines(corpus[0])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

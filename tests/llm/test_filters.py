@@ -37,6 +37,9 @@ def test_templates(spark):
     df = spark.createDataFrame(paths, "host string, path string, n long")
     got = {(r.host, r.path): r.tpl for r in urlfilter.templates(df).collect()}
     assert got["h", "/en/3"] == "/en/*" and got["h", "/de/x"] == "/de/x" and got["k", "/a/b/c/d/e"] == "/a/b/c/d/e"
+    deep = [("h", f"/a/b/c/d/e/f/{i}/g", 100) for i in range(9)] + [("h", "/a/b/c/d/e/f/hot/" + str(i), 1) for i in range(60)] + [("h", "/a/" * 40, 1)]
+    got = {r.path: r.tpl for r in urlfilter.templates(spark.createDataFrame([(h, p, n, "c") for h, p, n in deep], "host string, path string, n long, seg string")).collect()}
+    assert len(got) == len(deep) and got["/a/b/c/d/e/f/7/g"] == "/a/b/c/d/e/f/*/g" and got["/a/b/c/d/e/f/hot/3"].startswith("/a/b/c/d/e/f/*/") and "*" not in got["/a/" * 40]
     k = spark.createDataFrame([("/en/*",), ("/a/b",), ("/*",), ("",)], "t string").select(urlfilter.merge_key(F.col("t")).alias("x"))
     assert [r.x for r in k.collect()] == ["/*/*", "/a/*", "/*", ""]
 
@@ -101,17 +104,18 @@ def test_decontamination_against_brute_force(spark, corpus, empty):
             _, item = items[i % 25]
             body.append(edited(rng, item, rng.randint(0, 25)).upper().replace(" ", rng.choice([" ", "\n", " - "])))
         docs.append((i, " ".join([*body, text(30)])))
-    docs += [(None, docs[1][1]), (500, None), (501, ""), docs[1]]
+    docs += [(None, docs[1][1]), (500, None), (501, ""), docs[1], (502, "it is TOO, short."), (503, "it is too shorter"), (504, "too short")]
     df = spark.createDataFrame([(*d, 1, "z") for d in docs], "doc_id long, text string, item_id long, t string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter()
     for d, t in docs:
         for i, item in {x for x in items if x[1]}:
             p = decontam.normal(item)
-            if len(p.split()) >= decontam.LEAST_WORDS:
-                dist = semi_global(p, decontam.normal(t)) if t else 10**6
-                if dist <= decontam.edit_budget(len(p)):
-                    want[d, i, dist] += 1
+            if len(p.split()) < decontam.LEAST_WORDS:
+                want[d, i, 0] += f" {p} " in f" {decontam.normal(t)} "
+            elif (semi_global(p, decontam.normal(t)) if t else 10**6) <= decontam.edit_budget(len(p)):
+                want[d, i, semi_global(p, decontam.normal(t))] += 1
+    want = +want
     got = decontam.matches(df, bench)
     assert Counter((r.doc_id, r.item_id, r.distance) for r in got.collect()) == want and len(want) > 30
     kept = decontam.decontaminate(df, bench)
@@ -163,6 +167,21 @@ def test_mixing(spark, corpus, empty):
     assert mixing.take_mix(empty).count() == 0
 
 
+def test_mixing_comes_near_every_target(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = mixing.mix(docs).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n")).collect()
+    assert len(got) > 10 and all(abs(r.n / r.t - 1) <= mixing.NEAR for r in got)
+
+
+def test_mixing_goes_on_behind_long_documents(spark):
+    rows = [(i, "w " * (700 + i), "a") for i in range(60)] + [(1000 + i, "w " * (3 + i % 5), "a") for i in range(200)] + [(i, "w " * 50, "b") for i in range(2000, 2040)]
+    rows += [(5000, "w " * 9000, "c"), (5001, "w " * 9000, "c"), (None, "w " * 9, "b"), (None, None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, weights=(3, 20, 7)).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n")).collect()
+    off = {r.source: r.n / r.t - 1 for r in got}
+    assert abs(off["a"]) <= mixing.NEAR and abs(off["b"]) <= mixing.NEAR
+
+
 def test_mixing_caps_and_nesting(spark):
     rows = [(i, "w " * 10, "small" if i < 10 else "zlarge") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
