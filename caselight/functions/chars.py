@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode text processing knows it, U+001C to U+001F included.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same characters one after the other.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WS_RE2 = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
+#: Patterns of whole words, without alternatives outside of groups, that begin and end with a letter.
+_WHOLE = re.compile(r"\\b[a-z](?:[^|()]|\((?:[^()])*\))*(?<!\\)[a-z]\\b\Z")
 _SHORT = re.compile(r"\\[sdwbSbW]|\[[^\]]*\]")
 
 
@@ -31,11 +35,17 @@ def _spell(pattern: str, ws: str, edge: str) -> str:
 
 
 def java(patterns: str | list[str], flags: str = "iud") -> str:
-    """One alternation in Java's syntax: Unicode case folding, and ``.`` excludes only the newline."""
+    """One alternation in Java's syntax: Unicode case folding, and ``.`` excludes only the newline.
+
+    Whole words share one test of their edges, which fails at once inside a word.
+    """
     edge = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
     each = [patterns] if isinstance(patterns, str) else patterns
-    body = "|".join(_spell(p, WS, edge) for p in each)
-    return (f"(?{flags})" if flags else "") + (body if len(each) == 1 else f"(?:{body})")
+    whole = [p for p in each if _WHOLE.match(p)]
+    parts = [_spell(p, WS, edge) for p in each if p not in whole]
+    if whole:
+        parts.insert(0, f"(?<!{WORD})(?:{'|'.join(_spell(p[2:-2], WS, edge) for p in whole)})(?!{WORD})")
+    return (f"(?{flags})" if flags else "") + (parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})")
 
 
 def re2(patterns: str | list[str], flags: str = "i") -> str:
@@ -56,11 +66,11 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{WS}+", ""), f"{WS}+\\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+\\z", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def unix_lines(c: Column) -> Column:

@@ -6,12 +6,15 @@ that loads a model once per task to replace it.
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import lexicon as lex
 from .functions.chars import words
 
 Frames = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -39,10 +42,32 @@ def summarize(df: DataFrame, key: str = "id", text: str = "text", model: str = "
 def generate(prompts: DataFrame, key: str = "id", fn: Frames | None = None) -> DataFrame:
     """(key, reply) for each prompt; the stub answers with an empty object in a fence."""
     if fn is None:
-        return prompts.select(key, F.lit('```json\n{"facts": "", "legal_issue": "", "legal_basis": "", "court_reasoning": "", "decision": "", "plain_bangla_explanation": ""}\n```').alias("reply"))
+        return prompts.select(key, F.lit("```json\n" + json.dumps(dict.fromkeys(lex.EXPLANATION_FIELDS, "")) + "\n```").alias("reply"))
     return prompts.mapInPandas(fn, f"{key} {prompts.schema[key].dataType.simpleString()}, reply string")
 
 
+def get_url(url: str, timeout: float = 60) -> bytes:
+    """The body of a page; an error status or a time-out raises."""
+    with urllib.request.urlopen(url, timeout=timeout) as answer:
+        return answer.read()
+
+
+def fetch(urls: DataFrame, url: str = "url", fn: Callable[[str], bytes] = get_url) -> DataFrame:
+    """(url, content, error) of each url: the body, or null and what ``fn`` raised; a failure stops no other row."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for u in p[url]:
+                try:
+                    rows.append((u, fn(u), None))
+                except Exception as failure:  # noqa: BLE001
+                    rows.append((u, None, type(failure).__name__))
+            yield pd.DataFrame(rows, columns=["url", "content", "error"])
+
+    return urls.select(url).mapInPandas(run, "url string, content binary, error string")
+
+
 def extract_pdf(files: DataFrame, fn: Frames | None = None) -> DataFrame:
     """``binaryFile`` rows to (id, source_file, text); the stub reads the content as UTF-8 and drops bad bytes."""
 

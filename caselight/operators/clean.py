@@ -50,12 +50,14 @@ def repeated(ls: Column, least: int = MIN_REPEATS) -> Column:
     return let(s, lambda v: F.array_distinct(F.filter(v, lambda x, i: x == F.get(v, i + (least - 1)))))
 
 
+def drop_lines(ls: Column, many: Column) -> Column:
+    """Without the lines that, stripped, are among ``many``."""
+    return F.when(F.size(many) == 0, ls).otherwise(F.filter(ls, lambda x: ~F.array_contains(many, strip(x))))
+
+
 def drop_repeated(ls: Column, least: int = MIN_REPEATS) -> Column:
     """All occurrences of repeated lines go; blank lines stay."""
-    def drop(all_: Column, many: Column) -> Column:
-        return F.when(F.size(many) == 0, all_).otherwise(F.filter(all_, lambda x: ~F.array_contains(many, strip(x))))
-
-    return let(ls, lambda v: let(repeated(v, least), lambda many: drop(v, many)))
+    return let(ls, lambda v: let(repeated(v, least), lambda many: drop_lines(v, many)))
 
 
 def collapse_whitespace(c: Column) -> Column:

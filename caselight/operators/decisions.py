@@ -23,7 +23,10 @@ def matches(s: Column, patterns: list[str]) -> Column:
 
 
 def text_with_fallback(items: DataFrame, english: DataFrame, bangla: DataFrame, key: str = "id") -> DataFrame:
-    """The English text, else the Bangla one, else empty, with its provenance; presence decides, not length."""
+    """The English text, else the Bangla one, else empty, with its provenance; presence decides, not length.
+
+    For texts in tables of their own; see :func:`choose_text` for texts of one row.
+    """
     e, b = english.select(key, F.col("text").alias("_e")), bangla.select(key, F.col("text").alias("_b"))
     out = items.join(e, key, "left").join(b, key, "left")
     return out.withColumn("text", F.coalesce("_e", "_b", F.lit(""))).withColumn(
@@ -31,6 +34,12 @@ def text_with_fallback(items: DataFrame, english: DataFrame, bangla: DataFrame,
     ).drop("_e", "_b")
 
 
+def choose_text(english: Column, bangla: Column) -> tuple[Column, Column]:
+    """(text, provenance) where both texts are columns of one row, null where a file is missing: no join."""
+    source = F.when(english.isNotNull(), "en_clean").when(bangla.isNotNull(), "bn_clean").otherwise("missing")
+    return F.coalesce(english, bangla, F.lit("")), source
+
+
 def final_decisions(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``tail_sentences_examined``, ``final_reasoning_evidence``, ``final_decision_evidence``, ``decision_found``."""
     df = df.withColumn("_s", decision_sentences(F.col(text)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
-from ..functions.chars import contains_any, java, last_n
+from ..functions.chars import contains_any, java, last_n, let
 from .sentences import evidence_sentences
 
 
@@ -15,14 +15,21 @@ def _none() -> Column:
 
 
 def facts(s: Column) -> Column:
-    """The first marker whose window of six sentences says something, else (under three) every fact signal; six at most."""
-    n = F.size(s)
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    marked = F.filter(at, lambda i: contains_any(F.element_at(s, i), lex.FACT_MARKERS))
-    windows = F.transform(marked, lambda i: F.filter(F.slice(s, i, 6), lambda x: ~contains_any(x, lex.FACT_EXCLUDE)))
-    a = F.coalesce(F.get(F.filter(windows, lambda w: F.size(w) > 0), F.lit(0)), _none())
-    b = F.filter(s, lambda x: ~contains_any(x, lex.FACT_EXCLUDE) & contains_any(x, lex.FACT_SIGNALS))
-    return F.slice(F.array_distinct(F.concat(a, F.when(F.size(a) < 3, b).otherwise(_none()))), 1, 6)
+    """The first marker whose window of six sentences says something, else (under three) every fact signal; six at most.
+
+    Each sentence is looked at once; windows only read the flags, and none is built but the first that counts.
+    """
+    def flag(x: Column) -> Column:
+        return F.struct(x.alias("x"), contains_any(x, lex.FACT_MARKERS).alias("m"), contains_any(x, lex.FACT_EXCLUDE).alias("out"), contains_any(x, lex.FACT_SIGNALS).alias("sig"))
+
+    def chosen(f: Column) -> Column:
+        marked = F.filter(F.transform(f, lambda e, i: F.when(e["m"], i + 1)), lambda i: i.isNotNull())
+        first = F.get(F.filter(marked, lambda i: F.exists(F.slice(f, i, 6), lambda e: ~e["out"])), F.lit(0))
+        a = F.coalesce(F.transform(F.filter(F.slice(f, first, 6), lambda e: ~e["out"]), lambda e: e["x"]), _none())
+        b = F.transform(F.filter(f, lambda e: ~e["out"] & e["sig"]), lambda e: e["x"])
+        return let(a, lambda v: F.slice(F.array_distinct(F.concat(v, F.when(F.size(v) < 3, b).otherwise(_none()))), 1, 6))
+
+    return let(F.transform(s, flag), chosen)
 
 
 def issues(s: Column) -> Column:
@@ -50,17 +57,26 @@ def court_reasoning(s: Column) -> Column:
 COMPONENTS = {"issue": "legal_issue_evidence", "facts": "relevant_fact_evidence", "legal_basis": "legal_basis_evidence", "reasoning": "court_reasoning_evidence", "decision": "decision_evidence"}
 
 
-def reasoning_evidence(df: DataFrame, decisions: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """Adds the five evidence arrays and ``components_found``; documents without a decision row get no decision evidence."""
-    d = decisions.select(key, F.col("final_decision_evidence").alias("decision_evidence"))
+def with_evidence(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the four evidence arrays that follow from the text: one projection over one array of sentences."""
     df = df.withColumn("_s", evidence_sentences(F.col(text)))
-    df = df.withColumns({
+    return df.withColumns({
         "legal_issue_evidence": issues(F.col("_s")), "relevant_fact_evidence": facts(F.col("_s")),
         "legal_basis_evidence": legal_basis(F.col("_s")), "court_reasoning_evidence": court_reasoning(F.col("_s")),
     }).drop("_s")
-    df = df.join(d, key, "left").withColumn("decision_evidence", F.coalesce("decision_evidence", _none()))
+
+
+def with_components(df: DataFrame) -> DataFrame:
+    """Adds ``components_found`` and empties a missing ``decision_evidence``."""
+    df = df.withColumn("decision_evidence", F.coalesce("decision_evidence", _none()))
     return df.withColumn("components_found", F.struct(*[(F.size(v) > 0).alias(k) for k, v in COMPONENTS.items()]))
 
 
+def reasoning_evidence(df: DataFrame, decisions: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """Adds the five evidence arrays and ``components_found``; documents without a decision row get no decision evidence."""
+    d = decisions.select(key, F.col("final_decision_evidence").alias("decision_evidence"))
+    return with_components(with_evidence(df, text).join(d, key, "left"))
+
+
 def component_coverage(evidence: DataFrame) -> DataFrame:
     return evidence.agg(F.count(F.lit(1)).alias("n_docs"), *[F.count_if(F.col(f"components_found.{k}")).alias(f"n_{k}") for k in COMPONENTS])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.chars import strip
+from ..tables import written
 
 # Fixed value: the site whose listing pages the links are resolved against by default.
 BASE = "https://supremecourt.gov.bd/web/"
@@ -54,21 +56,38 @@ def harvest(pages: DataFrame, base: str = BASE, max_page: int | None = None, fai
     first = t.groupBy("pdf_url").agg(F.min(F.struct(page, "pos", "link_text")).alias("x"))
     if failed is not None:
         first = first.join(failed.select("pdf_url"), "pdf_url", "left_anti")
-    return dense_ids(first.select("pdf_url", f"x.{page}", "x.pos", "x.link_text"), [page, "pos"]).select(
+    return dense_ids(first.select("pdf_url", f"x.{page}", "x.pos", "x.link_text"), [page, "pos", "pdf_url"]).select(
         "id", F.col("link_text").alias("case_name"), "pdf_url", F.concat("id", F.lit(".pdf")).alias("saved_file"), F.element_at(F.split("pdf_url", "/"), -1).alias("original_filename")
     )
 
 
 def dense_ids(df: DataFrame, order: list[str], width: int = 5, prefix: str = "J") -> DataFrame:
-    """Adds ``id``: a dense number in ``order``.
+    """Adds ``id``: a dense number in ``order``, which has to be unique.
+
+    The rows are range-partitioned and written once, since bounds come from a sample that another run of the plan would
+    draw anew; then a row's number is its place in its part plus the sizes of the parts before, one number a part.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    ranged = written(ranged, "ranged").withColumn("_p", F.shiftright("_m", 33))
+    sizes = sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = list(itertools.accumulate((n for _, n in sizes), initial=0))
+    offsets = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "_p long, _b long")
+    number = F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.join(F.broadcast(offsets), "_p").withColumn("id", F.format_string(f"{prefix}%0{width}d", number)).drop("_p", "_m", "_b")
+
+
+def walk_pages(pages: DataFrame, most: int | None = 5, listing: str = "listing", page: str = "page_no", html: str = "html") -> DataFrame:
+    """The pages of each listing that a walk by its ``Next`` links reads, from the first page on.
 
-    Range-partitioned and numbered per partition; the offsets are sums over partitions, a table with one row each.
+    The walk ends at a page without a link whose text has ``Next``, at one behind which there is no page or the same
+    page again, and after ``most`` pages (None: no such end).
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.select("_p", (F.sum("_c").over(W.orderBy("_p")) - F.col("_c")).alias("_b"))  # one row per partition
-    return ranged.join(before, "_p").withColumn("id", F.format_string(f"{prefix}%0{width}d", F.col("_b") + F.col("_n"))).drop("_p", "_n", "_c", "_b")
+    here = pages.select(listing, page, F.md5(F.col(html).cast("binary")).alias("_h"), F.exists(F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(2)), lambda t: F.regexp_replace(t, "<[^>]*>", "").contains("Next")).alias("_next"))
+    behind = here.select(listing, (F.col(page) - 1).alias(page), F.col("_h").alias("_behind"))
+    on = F.coalesce(F.col("_next") & (F.col("_behind") != F.col("_h")), F.lit(False))
+    ends = here.join(behind, [listing, page], "left").groupBy(listing).agg(F.min(page).alias("_first"), F.min(F.when(~on, F.col(page))).alias("_end"))
+    last = F.col("_end") if most is None else F.least(F.col("_end"), F.col("_first") + (most - 1))
+    return pages.join(ends, listing).where(F.col(page) <= last).select(*pages.columns)
 
 
 def readable(df: DataFrame, text: str = "text", least: int = READABLE) -> DataFrame:

@@ -42,18 +42,46 @@ def _f(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / F.greatest(p + r, F.lit(1e-300))).otherwise(0.0)
 
 
-def rouge_n(pairs: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """(key, rougeN_p, rougeN_r, rougeN_f): clipped overlap of n-grams.
+def overlaps(pairs: DataFrame, orders: tuple[int, ...], key: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, o1, h1, r1, ...): clipped overlap of ``h`` and ``r`` tokens' n-grams and both totals, for each order.
 
-    Both sides' grams go through one union and one partial aggregation by (key, gram): one shuffle, no join of lists.
+    The pairs are dealt out by key once; grams of both sides and all orders come from one explode behind it and are
+    counted where they are, so grams are not shuffled. Every pair has a row; ``keep`` are numbers that go along.
     """
-    t = pairs.select(key, ngrams(words(F.col("hyp")), n).alias("h"), ngrams(words(F.col("ref")), n).alias("r"))
-    each = t.select(key, F.explode("h").alias("g"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(t.select(key, F.explode("r").alias("g"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    c = each.groupBy(key, "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).groupBy(key).agg(F.sum(F.least("a", "b")).alias("o"), F.sum("a").alias("nh"), F.sum("b").alias("nr"))
-    c = t.select(key).join(c, key, "left")
-    p = F.when(F.col("nh") > 0, F.col("o") / F.greatest("nh", F.lit(1))).otherwise(0.0)
-    r = F.when(F.col("nr") > 0, F.col("o") / F.greatest("nr", F.lit(1))).otherwise(0.0)
-    return c.select(key, p.alias(f"rouge{n}_p"), r.alias(f"rouge{n}_r"), _f(p, r).alias(f"rouge{n}_f"))
+    def tagged(c: str, side: int) -> list[Column]:
+        def tag(n: int) -> Column:
+            return F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("g")))
+
+        return [tag(n) for n in orders]
+
+    at_home = pairs.select(key, *keep, "h", "r").repartition(F.col(key))
+    each = at_home.select(key, *keep, F.explode_outer(F.concat(*tagged("h", 0), *tagged("r", 1))).alias("x")).select(key, *keep, "x.n", "x.side", "x.g")
+    c = each.groupBy(key, *keep, "n", "g").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+
+    def total(v: Column, n: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("n") == n, v)), F.lit(0))
+
+    return c.groupBy(key, *keep).agg(*[total(v, n).alias(f"{name}{n}") for n in orders for name, v in (("o", F.least("a", "b")), ("h", F.col("a")), ("r", F.col("b")))])
+
+
+def rouge(pairs: DataFrame, orders: tuple[int, ...] = (1, 2), key: str = "id") -> DataFrame:
+    """(key, rougeN_p, rougeN_r, rougeN_f, ...) for every order at once."""
+    return rouge_of_tokens(pairs.select(key, words(F.col("hyp")).alias("h"), words(F.col("ref")).alias("r")), orders, key)
+
+
+def rouge_of_tokens(pairs: DataFrame, orders: tuple[int, ...], key: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
+    c = overlaps(pairs, orders, key, keep)
+    out = []
+    for n in orders:
+        p = F.when(F.col(f"h{n}") > 0, F.col(f"o{n}") / F.greatest(f"h{n}", F.lit(1))).otherwise(0.0)
+        r = F.when(F.col(f"r{n}") > 0, F.col(f"o{n}") / F.greatest(f"r{n}", F.lit(1))).otherwise(0.0)
+        out += [p.alias(f"rouge{n}_p"), r.alias(f"rouge{n}_r"), _f(p, r).alias(f"rouge{n}_f")]
+    return c.select(key, *keep, *out)
+
+
+def rouge_n(pairs: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """(key, rougeN_p, rougeN_r, rougeN_f): clipped overlap of n-grams."""
+    return rouge(pairs, (n,), key)
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -76,16 +104,28 @@ def tokens_of(text: str) -> list[str]:
     return [w for w in _SPLIT.split(text or "") if w]
 
 
-@F.pandas_udf(DoubleType())
-def rouge_l(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def lcs_f(hyp: str, ref: str) -> float:
     """F of the longest common subsequence of words."""
-    def one(hyp: str, ref: str) -> float:
-        h, r = tokens_of(hyp), tokens_of(ref)
-        n = lcs_length(h, r) if h and r else 0
-        return 2 * (n / len(h)) * (n / len(r)) / (n / len(h) + n / len(r)) if n else 0.0
+    h, r = tokens_of(hyp), tokens_of(ref)
+    n = lcs_length(h, r) if h and r else 0
+    return 2 * (n / len(h)) * (n / len(r)) / (n / len(h) + n / len(r)) if n else 0.0
+
 
+@F.pandas_udf(DoubleType())
+def rouge_l(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """A column for pairs that are stored; computed ones go through :func:`rouge_l_scores`."""
     for hyp, ref in parts:
-        yield pd.Series([one(h, r) for h, r in zip(hyp, ref, strict=True)], dtype=float)
+        yield pd.Series([lcs_f(h, r) for h, r in zip(hyp, ref, strict=True)], dtype=float)
+
+
+def rouge_l_scores(pairs: DataFrame, key: str = "id") -> DataFrame:
+    """(key, rougeL_f): bit-parallel in Arrow batches; no built-in has a longest common subsequence."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({key: p[key], "rougeL_f": pd.Series([lcs_f(h, r) for h, r in zip(p["hyp"], p["ref"], strict=True)], dtype=float)})
+
+    t = pairs.select(key, "hyp", "ref")
+    return t.mapInPandas(run, f"{key} {t.schema[key].dataType.simpleString()}, rougeL_f double")
 
 
 def bleu_tokens(text: str) -> list[str]:
@@ -129,10 +169,41 @@ def sentence_bleu(hyp: str, ref: str, order: int = 4) -> float:
 
 @F.pandas_udf(DoubleType())
 def bleu(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """A column for pairs without a key; tables of pairs have :func:`bleu_scores`, without Python."""
     for hyp, ref in parts:
         yield pd.Series([sentence_bleu(h, r) for h, r in zip(hyp, ref, strict=True)], dtype=float)
 
 
+def tokens_13a(text: Column) -> Column:
+    """The tokens of :func:`bleu_tokens` as a column."""
+    c = F.coalesce(text, F.lit(""))
+    for a, b in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    c = F.concat(F.lit(" "), c, F.lit(" "))
+    for pattern, to in (
+        (r"([\{-~\[-` -&(-+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "),
+    ):
+        c = F.regexp_replace(c, pattern, to)
+    return words(c)
+
+
+def bleu_scores(pairs: DataFrame, key: str = "id", order: int = 4) -> DataFrame:
+    """(key, bleu), 0 to 100: effective order, exponential smoothing, brevity penalty; no match of any order: 0."""
+    t = pairs.select(key, tokens_13a(F.col("hyp")).alias("h"), tokens_13a(F.col("ref")).alias("r"))
+    c = overlaps(t, tuple(range(1, order + 1)), key)
+    hit, used, misses, logs = F.lit(0), F.lit(0), F.lit(0), F.lit(0.0)
+    for n in range(1, order + 1):
+        o, h = F.col(f"o{n}"), F.col(f"h{n}")
+        there = h > 0
+        hit, used = hit + o, used + F.when(there, 1).otherwise(0)
+        misses = misses + F.when(there & (o == 0), 1).otherwise(0)
+        precision = F.when(o > 0, 100.0 * o / F.greatest(h, F.lit(1))).otherwise(100.0 / (F.pow(F.lit(2.0), misses) * F.greatest(h, F.lit(1))))
+        logs = logs + F.when(there, F.log(precision)).otherwise(0.0)
+    brevity = F.when(F.col("h1") >= F.col("r1"), 1.0).otherwise(F.exp(1 - F.col("r1") / F.greatest("h1", F.lit(1))))
+    score = F.when((hit > 0) & (F.col("r1") > 0), brevity * F.exp(logs / F.greatest(used, F.lit(1)))).otherwise(0.0)
+    return c.select(key, score.alias("bleu"))
+
+
 def content_tokens(text: Column) -> Column:
     """Distinct numbers and words of three characters and more, edge punctuation stripped."""
     edge = "[" + "".join("\\" + c if c in "[]()-.{}" else c for c in lex.EDGE_PUNCTUATION) + "]+"
@@ -174,8 +245,8 @@ def greedy_match(tokens: DataFrame, pair: str = "pair_id") -> DataFrame:
 
 def evaluate(pairs: DataFrame, key: str = "id") -> DataFrame:
     """All lexical scores of ``pairs(key, case_type, model, hyp, ref)`` in one row per pair."""
-    base = pairs.select(key, "case_type", "model", word_count(F.col("hyp")).alias("hyp_len_words"), word_count(F.col("ref")).alias("ref_len_words"), bleu("hyp", "ref").alias("bleu"), rouge_l("hyp", "ref").alias("rougeL_f"))
-    return base.join(rouge_n(pairs, 1, key), key).join(rouge_n(pairs, 2, key).select(key, "rouge2_f"), key)
+    base = pairs.select(key, "case_type", "model", word_count(F.col("hyp")).alias("hyp_len_words"), word_count(F.col("ref")).alias("ref_len_words"), rouge_l("hyp", "ref").alias("rougeL_f"))
+    return base.join(rouge(pairs, (1, 2), key).drop("rouge2_p", "rouge2_r"), key).join(bleu_scores(pairs, key), key)
 
 
 def averages(scores: DataFrame, columns: list[str]) -> DataFrame:

@@ -22,6 +22,18 @@ def reasoning_packs(structured: DataFrame, evidence: DataFrame, decisions: DataF
     return out.select(*keep, "facts_inferred", *[F.coalesce(a, none).alias(a) for a in arrays])
 
 
+def packed(rows: DataFrame, has_evidence: Column, has_decisions: Column, key: str = "id") -> DataFrame:
+    """The same packs where one row holds what the three relations say; the flags tell which of them have a row."""
+    none = F.array().cast("array<string>")
+    take = lambda flag, c: F.coalesce(F.when(flag, F.col(c)), none)
+    keep = [c for c in (key, "source_file") if c in rows.columns]
+    return rows.select(
+        *keep, F.coalesce("facts_inferred", F.lit(False)).alias("facts_inferred"), take(has_evidence, "legal_issue_evidence").alias("legal_issue_evidence"),
+        take(has_evidence, "relevant_fact_evidence").alias("fact_evidence"), take(has_evidence, "legal_basis_evidence").alias("legal_basis_evidence"),
+        take(has_decisions, "final_reasoning_evidence").alias("court_reasoning_evidence"), take(has_decisions, "final_decision_evidence").alias("court_decision_evidence"),
+    )
+
+
 def bullets(items: Column) -> Column:
     return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, "Evidence unavailable.").otherwise(F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"))
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import spread
+
 
 def _lines(cond: str, *ls: str) -> str:
     body = ", ".join((f"'{s}'" if not s.startswith("@") else s[1:]) + ", chr(10)" for s in ls)
@@ -64,12 +66,38 @@ HTML = (
     "CASE WHEN page_id % 5 = 0 THEN '<a href=\"https://example.test/resources/documents/same.pdf\">Same</a>' ELSE '' END, '<a href=\"\">none</a>')"
 )
 
+#: Rows that a side input lacks, as data: null for a missing file or row, blank for an empty one.
+FILE_EN = f"CASE WHEN doc_id % 6 <> 5 THEN {TEXT_EN} END"
+FILE_BN = f"CASE WHEN doc_id % 12 <> 11 THEN {TEXT_BN} END"
+FILE_SOURCE = f"CASE WHEN doc_id % 8 <> 5 THEN {TEXT_EN} END"
+META_NAME = f"CASE WHEN doc_id % 10 <> 9 THEN {CASE_NAME} END"
+SUMMARY_INPUT = f"CASE WHEN doc_id % 9 <> 4 THEN {TEXT_BN} ELSE '' END"
+HAS_SECTIONS, HAS_DECISION, HAS_EVIDENCE = "doc_id % 11 <> 5", "doc_id % 13 <> 1", "doc_id % 17 <> 3"
+
 COLUMNS = {"text_en": TEXT_EN, "text_bn": TEXT_BN, "case_name": CASE_NAME, "reply": REPLY}
+GAPS = {
+    "file_en": FILE_EN, "file_bn": FILE_BN, "file_source": FILE_SOURCE, "meta_name": META_NAME, "summary_input": SUMMARY_INPUT,
+    "has_sections": HAS_SECTIONS, "has_decision": HAS_DECISION, "has_evidence": HAS_EVIDENCE,
+}
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.selectExpr("doc_id", "text", "lang", "source", *[f"{e} AS {n}" for n, e in COLUMNS.items()])
+    return documents(spark, sf_dir).selectExpr("doc_id", "text", "lang", "source", *[f"{e} AS {n}" for n, e in (COLUMNS | GAPS).items()])
+
+
+#: Listings of seven pages each, most of which link to the next; a page at times repeats the one before.
+LISTING = {
+    "listing": "page_id - page_id % 7", "page_no": "page_id % 7",
+    "html": "concat('<a href=\"/l\">first</a>', CASE WHEN page_id % 5 = 4 THEN '' ELSE '<a class=\"n\" href=\"#\"><b>Next</b> page</a>' END, CASE WHEN page_id % 11 IN (6, 7) THEN 'same' ELSE url END)",
+}
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id", *[f"{e} AS {n}" for n, e in LISTING.items()])
 
 
 def enriched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +105,5 @@ def enriched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CTE = "enr AS (SELECT doc_id, text, lang, source, " + ", ".join(f"{e} AS {n}" for n, e in COLUMNS.items()) + " FROM documents)"
+CTE_LISTINGS = "ls AS (SELECT page_id, " + ", ".join(f"{e} AS {n}" for n, e in LISTING.items()) + " FROM pages)"
 CTE_PAGES = f"pg AS (SELECT page_id, url, {HTML} AS html FROM pages)"

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..functions import lexicon as lex
-from ..functions.chars import lines, strip, word_count
+from ..functions.chars import lines, strip, word_count, words
 from ..operators import classify, clean, decisions, evidence, ingest, metrics, packs, refs, sections, sentences
-from ..sources import readers
-from .enrich import enriched, enriched_pages
+from ..sources import readers, writers
+from ..tables import new_path
+from .enrich import documents, enriched, enriched_pages, listings
 
 SEP = " ¦ "
 _all: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,8 +39,7 @@ def _digest(c: Column, name: str) -> list[Column]:
     return [F.md5(c.cast("binary")).alias(f"{name}_md5"), _long(F.length(c)).alias(f"{name}_len")]
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+_documents = documents
 
 
 @_query
@@ -72,8 +72,8 @@ def case_type_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = enriched(spark, sf_dir)
-    meta = e.where("doc_id % 10 <> 9").select("doc_id", "case_name")
-    structured = sections.split_sections(e.where("doc_id % 11 <> 5").select("doc_id", F.col("text_en").alias("text"))).select("doc_id", "sections_found")
+    meta = e.where("meta_name is not null").select("doc_id", F.col("meta_name").alias("case_name"))
+    structured = sections.split_sections(e.where("has_sections").select("doc_id", F.col("text_en").alias("text"))).select("doc_id", "sections_found")
     out = classify.classify(e.select("doc_id", F.col("text_en").alias("text")), meta, structured, "doc_id")
     return out.withColumn("word_count", _long(F.col("word_count")))
 
@@ -118,8 +118,10 @@ def stray_english(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def clean_en_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = enriched(spark, sf_dir).select("doc_id", "text_en", clean.clean_en(F.col("text_en")).alias("c"), F.size(clean.repeated(clean.kept_lines(F.col("text_en"), lex.JUNK_EN))).alias("r"))
-    return e.select("doc_id", *_digest(F.col("c"), "text"), _long(F.length("text_en")).alias("before_len"), F.round(clean.reduction(F.col("text_en"), F.col("c")), 6).alias("reduction"), _long(F.col("r")).alias("n_repeated"))
+    e = enriched(spark, sf_dir).select("doc_id", "text_en", clean.kept_lines(F.col("text_en"), lex.JUNK_EN).alias("k"))
+    e = e.select("doc_id", "text_en", "k", clean.repeated(F.col("k")).alias("r"))
+    e = e.select("doc_id", "text_en", "r", clean.collapse_whitespace(F.array_join(clean.drop_lines(F.col("k"), F.col("r")), "\n")).alias("c"))
+    return e.select("doc_id", *_digest(F.col("c"), "text"), _long(F.length("text_en")).alias("before_len"), F.round(clean.reduction(F.col("text_en"), F.col("c")), 6).alias("reduction"), _long(F.size("r")).alias("n_repeated"))
 
 
 @_query
@@ -176,11 +178,10 @@ def sentences_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", _long(F.size("s")).alias("n"), F.md5(F.array_join("s", SEP).cast("binary")).alias("md5"))
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = enriched(spark, sf_dir)
-    en = e.where("doc_id % 6 <> 5").select("doc_id", F.col("text_en").alias("text"))
-    bn = e.where("doc_id % 12 <> 11").select("doc_id", F.col("text_bn").alias("text"))
-    return decisions.final_decisions(decisions.text_with_fallback(e.select("doc_id"), en, bn, "doc_id"))
+def _decided(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Both texts are columns of one row, so the fallback is a choice of columns: one scan, no shuffle."""
+    text, source = decisions.choose_text(F.col("file_en"), F.col("file_bn"))
+    return decisions.final_decisions(enriched(spark, sf_dir).select("doc_id", *keep, text.alias("text"), source.alias("text_source")))
 
 
 @_query
@@ -195,10 +196,11 @@ def decision_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.decision_coverage(_decided(spark, sf_dir))
 
 
-def _evident(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = enriched(spark, sf_dir).select("doc_id", F.col("text_en").alias("text"))
-    d = _decided(spark, sf_dir).where("doc_id % 13 <> 1")
-    return evidence.reasoning_evidence(e, d, "doc_id")
+def _evident(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Evidence and decisions of a document from one row; decisions are null where their row is missing."""
+    d = _decided(spark, sf_dir, "text_en", "has_decision", *keep)
+    d = d.withColumn("decision_evidence", F.when(F.col("has_decision"), F.col("final_decision_evidence")))
+    return evidence.with_components(evidence.with_evidence(d, "text_en"))
 
 
 def _one_evidence(spark: SparkSession, sf_dir: str, fn: Callable[[Column], Column]) -> DataFrame:
@@ -232,8 +234,9 @@ def component_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _split(spark, sf_dir).select("doc_id", "facts_inferred")
-    return packs.reasoning_packs(s, _evident(spark, sf_dir).where("doc_id % 17 <> 3"), _decided(spark, sf_dir), "doc_id")
+    """Sections, decisions and evidence of each document from one row, packed without a join."""
+    e = sections.split_sections(_evident(spark, sf_dir, "has_evidence").withColumnRenamed("text", "_chosen"), "text_en")
+    return packs.packed(e, F.col("has_evidence"), F.lit(True), "doc_id")
 
 
 @_query
@@ -262,10 +265,10 @@ def parse_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.parse_replies(enriched(spark, sf_dir).select("doc_id", "reply"), "reply", "doc_id").select("doc_id", "facts", "decision", "raw_output", "parse_error")
 
 
-def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _references(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     e = enriched(spark, sf_dir)
-    types = e.where("doc_id % 10 <> 9").select("doc_id", classify.case_type(F.col("case_name")).alias("case_type"))
-    return refs.proxy_references(e.select("doc_id", F.col("text_bn").alias("text")), types, "doc_id")
+    kind = F.when(F.col("meta_name").isNull(), "Unknown").otherwise(classify.case_type(F.col("meta_name")))
+    return e.select("doc_id", *keep, kind.alias("case_type"), refs.order_tail(F.col("text_bn")).alias("reference_summary_bn"), F.lit("proxy_order_extraction").alias("reference_type"))
 
 
 @_query
@@ -279,21 +282,27 @@ def reference_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.reference_template(_references(spark, sf_dir), "doc_id")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = enriched(spark, sf_dir).select("doc_id", F.col("text_bn").alias("text"))
-    return metrics.scoring_pairs(_references(spark, sf_dir), models.summarize(e.where("doc_id % 9 <> 4"), "doc_id"), "doc_id")
+def _pairs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """References and summaries of one row; a blank side leaves the pair out."""
+    r = _references(spark, sf_dir, "summary_input", *keep)
+    p = r.select("doc_id", "case_type", F.col("reference_summary_bn").alias("ref"), models.lead_words(F.col("summary_input")).alias("hyp"), *keep)
+    return p.where((strip(F.col("ref")) != "") & (strip(F.col("hyp")) != ""))
 
 
 @_query
 def skipped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.skipped(_references(spark, sf_dir), _pairs(spark, sf_dir), "doc_id")
+    r = _references(spark, sf_dir, "summary_input")
+    h = models.summarize(r.select("doc_id", F.col("summary_input").alias("text")), "doc_id")
+    return metrics.skipped(r, metrics.scoring_pairs(r, h, "doc_id"), "doc_id")
 
 
 @_query
 def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
-    one = p.select("doc_id", _long(word_count(F.col("hyp"))).alias("hyp_len_words"), _long(word_count(F.col("ref"))).alias("ref_len_words")).join(metrics.rouge_n(p, 1, "doc_id"), "doc_id").join(metrics.rouge_n(p, 2, "doc_id").select("doc_id", "rouge2_f"), "doc_id")
-    return one.select("doc_id", "hyp_len_words", "ref_len_words", *[F.round(c, 6).alias(c) for c in ("rouge1_p", "rouge1_r", "rouge1_f", "rouge2_f")])
+    lens = [_long(word_count(F.col(c))).alias(f"{c}_len_words") for c in ("hyp", "ref")]
+    t = p.select("doc_id", *lens, words(F.col("hyp")).alias("h"), words(F.col("ref")).alias("r"))
+    t = metrics.rouge_of_tokens(t, (1, 2), "doc_id", ("hyp_len_words", "ref_len_words"))
+    return t.select("doc_id", "hyp_len_words", "ref_len_words", *[F.round(c, 6).alias(c) for c in ("rouge1_p", "rouge1_r", "rouge1_f", "rouge2_f")])
 
 
 @_query
@@ -303,18 +312,17 @@ def rouge_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("doc_id", F.round(metrics.rouge_l("hyp", "ref"), 6).alias("rougeL_f"))
+    return metrics.rouge_l_scores(_pairs(spark, sf_dir), "doc_id").select("doc_id", F.round("rougeL_f", 6).alias("rougeL_f"))
 
 
 @_query
 def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("doc_id", F.round(metrics.bleu("hyp", "ref"), 6).alias("bleu"))
+    return metrics.bleu_scores(_pairs(spark, sf_dir), "doc_id").select("doc_id", F.round("bleu", 6).alias("bleu"))
 
 
 @_query
 def factual_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = enriched(spark, sf_dir).where("doc_id % 8 <> 5").select("doc_id", F.col("text_en").alias("source"))
-    f = metrics.factual_scores(_pairs(spark, sf_dir).join(e, "doc_id", "left"), "doc_id")
+    f = metrics.factual_scores(_pairs(spark, sf_dir, "file_source").withColumnRenamed("file_source", "source"), "doc_id")
     return f.select("doc_id", *[F.round(c, 6).alias(c) for c in ("factual_precision", "factual_recall", "factual_f1")])
 
 
@@ -357,5 +365,167 @@ def utf8_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.strict_texts(f).select(F.col("id").alias("doc_id"), *_digest(F.col("text"), "text"))
 
 
+@_query
+def listing_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.walk_pages(listings(spark, sf_dir)).select("page_id", "listing", "page_no")
+
+
+@_query
+def fetch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def body(url: str) -> bytes:
+        if len(url) % 7 == 0:
+            raise TimeoutError(url)
+        return f"<p>{url}</p>".encode()
+
+    urls = spark.read.parquet(f"{sf_dir}/pages.parquet").where("url is not null").select("url").distinct()
+    return models.fetch(urls, fn=body).select("url", F.col("content").cast("string").alias("body"), "error")
+
+
+# Readers, sinks and lookups: tables are written as the sinks write them and read back ------------------------------
+
+
+def _files_of(df: DataFrame, content: Column) -> DataFrame:
+    return df.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"), content.alias("content"))
+
+
+@_query
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file a document, and the lenient scan of the folder: bad bytes go, line ends are unified."""
+    path = new_path(spark, "texts")
+    writers.export_text_files(_documents(spark, sf_dir).select("doc_id", F.concat("source", F.lit("\r\n"), F.substring("text", 1, 300), F.lit("\rend")).alias("text")), path, "doc_id")
+    t = readers.text_folder(spark, path)
+    return t.select(F.col("id").cast("long").alias("doc_id"), "source_file", *_digest(F.col("text"), "text"))
+
+
+@_query
+def strict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir)
+    bad = F.when(F.col("lang") == "en", F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    files = _files_of(d.where("lang is not null"), F.concat(F.col("text").cast("binary"), bad))
+    t = readers.nullable_texts(d.select(F.col("doc_id").cast("string").alias("id")), files)
+    return t.select(F.col("id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@_query
+def default_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir)
+    t = readers.defaulted_texts(e.select("doc_id"), e.where("file_bn is not null").select("doc_id", F.col("file_bn").alias("text")), "doc_id")
+    return t.select("doc_id", *_digest(F.col("text"), "text"))
+
+
+@_query
+def fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = enriched(spark, sf_dir)
+    en, bn = (e.where(f"{c} is not null").select("doc_id", F.md5(F.col(c).cast("binary")).alias("text")) for c in ("file_en", "file_bn"))
+    return decisions.text_with_fallback(e.select("doc_id"), en, bn, "doc_id").select("doc_id", "text_source", F.col("text").alias("text_md5"))
+
+
+@_query
+def metadata_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata CSV, written and read: text with quotes, commas and line ends; the last of several rows an id wins."""
+    path = new_path(spark, "metadata")
+    e = enriched(spark, sf_dir)
+    name = F.concat(F.lit(' "'), "case_name", F.lit('", or\n'), "source")
+    e = e.select(F.col("doc_id").cast("string").alias("id"), name.alias("case_name"), F.lit("u").alias("pdf_url"), F.concat("doc_id", F.lit(".pdf")).alias("saved_file"), F.lit("o").alias("original_filename"))
+    writers.write_csv(e, path)
+    m = readers.metadata_csv(spark, path)
+    return m.select(F.col("id").cast("long").alias("doc_id"), "case_name", "pdf_url", "saved_file")
+
+
+@_query
+def json_array_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON array in one file, written and read by its stated schema."""
+    path = new_path(spark, "references") + ".json"
+    e = enriched(spark, sf_dir)
+    r = e.select(F.col("doc_id").cast("string").alias("id"), classify.case_type(F.col("case_name")).alias("case_type"), F.concat(F.substring("text_bn", 1, 90), F.lit('"\\\t')).alias("reference_summary_bn"), F.lit(None).cast("string").alias("reference_type"))
+    writers.write_json_array(r, path, "id")
+    t = readers.json_array(spark, path, readers.REFERENCES)
+    return t.select(F.col("id").cast("long").alias("doc_id"), "case_type", *_digest(F.col("reference_summary_bn"), "ref"), F.col("reference_type").isNull().alias("untyped"))
+
+
+@_query
+def metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores written as CSV and JSON, both read back."""
+    path = new_path(spark, "metrics")
+    s = _documents(spark, sf_dir).select("doc_id", "lang", (F.length("text") / 7.0).alias("score"))
+    writers.write_metrics(s, path)
+    c = spark.read.option("header", True).option("escape", '"').schema(s.schema).csv(f"{path}/csv")
+    j = spark.read.schema(s.schema).json(f"{path}/json").select("doc_id", F.col("score").alias("json_score"))
+    return c.join(j, "doc_id").select("doc_id", "lang", F.round("score", 6).alias("csv_score"), F.round("json_score", 6).alias("json_score"))
+
+
+@_query
+def checkpoint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches appended one by one; a batch that is replayed replaces itself."""
+    path = new_path(spark, "batches")
+    sink, d = writers.append_batch(path), _documents(spark, sf_dir).select("doc_id", "source")
+    for batch, part in ((0, d.where("lang = 'en'")), (1, d.where("lang <> 'en' or lang is null")), (1, d.where("lang <> 'en' or lang is null"))):
+        sink(part, batch)
+    return spark.read.schema("doc_id long, source string").option("basePath", path).json(f"{path}/batch=*").select("doc_id", "source")
+
+
+@_query
+def pack_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pack join over relations of their own, which lack rows."""
+    e = enriched(spark, sf_dir)
+    one = lambda c: F.array(F.coalesce(F.col(c), F.lit("-")))
+    s = e.select("doc_id", F.col("lang").isNull().alias("facts_inferred"))
+    ev = e.where("has_evidence").select("doc_id", one("source").alias("legal_issue_evidence"), one("lang").alias("relevant_fact_evidence"), one("case_name").alias("legal_basis_evidence"))
+    d = e.where("has_decision").select("doc_id", one("case_name").alias("final_reasoning_evidence"), one("source").alias("final_decision_evidence"))
+    p = packs.reasoning_packs(s, ev, d, "doc_id")
+    return p.select("doc_id", "facts_inferred", *[_joined(c) for c in p.columns if c.endswith("_evidence")])
+
+
+@_query
+def evidence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence joined with a decision relation that lacks rows."""
+    e = enriched(spark, sf_dir)
+    d = e.where("has_decision").select("doc_id", F.array("source").alias("final_decision_evidence"))
+    t = evidence.reasoning_evidence(e.select("doc_id", F.col("case_name").alias("text")), d, "doc_id")
+    return t.select("doc_id", _joined("decision_evidence"), F.col("components_found.decision").alias("found"))
+
+
+# The seams of models, with deterministic models --------------------------------------------------------------------
+
+
+@_query
+def translate_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk whose translation fails comes back as an empty one."""
+    model = lambda c: F.when(c.contains("e"), F.upper(F.translate(c, "e", "3")))
+    e = enriched(spark, sf_dir).select("doc_id", F.substring("text", 1, 400).alias("text")).where("text is not null")
+    return ingest.translate_chunks(e, model, "doc_id", size=16).select("doc_id", *_digest(F.col("translated"), "text"))
+
+
+@_query
+def summarize_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank texts have no summary; the model here gives the first five words."""
+    def first_words(parts):
+        for p in parts:
+            yield p[["doc_id"]].assign(summary_bn=[" ".join(metrics.tokens_of(t)[:5]) for t in p["text"]])
+
+    s = models.summarize(enriched(spark, sf_dir).select("doc_id", F.col("summary_input").alias("text")), "doc_id", model="five", fn=first_words)
+    return s.select("doc_id", "model", "summary_bn")
+
+
+@_query
+def generate_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts through a model that answers in a fence, cuts one answer short, and the parser behind it."""
+    def answer(parts):
+        for p in parts:
+            yield p[["doc_id"]].assign(reply=[f'Sure: ```json\n{{"facts": "{len(t)} characters", "decision": "{"x" * (len(t) % 3)}"' + ("}\n```" if len(t) % 4 else "") for t in p["prompt"]])
+
+    prompts = enriched(spark, sf_dir).select("doc_id", F.concat(F.lit("Explain "), "case_name").alias("prompt"))
+    r = packs.parse_replies(models.generate(prompts, "doc_id", answer), "reply", "doc_id")
+    return r.select("doc_id", "facts", "decision", F.col("parse_error").isNotNull().alias("failed"))
+
+
+@_query
+def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary files through the extractor; the stub drops bytes that are no UTF-8."""
+    d = _documents(spark, sf_dir)
+    files = d.select(F.concat(F.lit("dir/"), "doc_id", F.lit(".pdf")).alias("path"), F.concat(F.unhex(F.lit("FF")), F.substring("text", 1, 200).cast("binary")).alias("content"))
+    return models.extract_pdf(files.where("content is not null")).select(F.col("id").cast("long").alias("doc_id"), "source_file", *_digest(F.col("text"), "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_all)

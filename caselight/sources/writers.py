@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import textwrap
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +18,32 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, order: str | None = None) -> None:
+    """One file that holds one array of objects, indented by two, non-ASCII characters as they are, overwritten.
+
+    Executors render the rows; the driver only passes them on to the file, a partition at a time, since one file has one
+    writer. For tables that outgrow one file there is :func:`write_json`.
+    """
+
+    def render(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"row": [textwrap.indent(json.dumps(json.loads(r), ensure_ascii=False, indent=2), "  ") for r in p["row"]]})
+
+    spark = df.sparkSession
+    rows = df if order is None else df.orderBy(order)
+    rows = rows.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row")).mapInPandas(render, "row string")
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file, True)
+    try:
+        first = True
+        for r in rows.toLocalIterator():
+            out.write(bytearray((("[\n" if first else ",\n") + r["row"]).encode()))
+            first = False
+        out.write(bytearray(b"[]" if first else b"\n]"))
+    finally:
+        out.close()
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
@@ -26,9 +59,26 @@ def write_texts(df: DataFrame, path: str, key: str = "id", text: str = "text") -
     df.select(key, text).write.mode("overwrite").parquet(path)
 
 
-def export_text_files(df: DataFrame, path: str, key: str = "id", text: str = "text") -> None:
-    """One folder ``id=...`` of text per document, written by Spark's own writer, so any file system serves."""
-    df.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("value")).write.mode("overwrite").partitionBy("id").option("lineSep", "\n").text(path)
+def export_text_files(df: DataFrame, path: str, key: str = "id", text: str = "text", suffix: str = ".txt") -> None:
+    """One file per document under its own name (``key`` and ``suffix``), overwritten.
+
+    Tasks write through Arrow's file systems, so the folder may be local, HDFS or an object store; each file is written
+    under another name first and then moved, so that a task that is run again replaces whole files by the same.
+    """
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        files.create_dir(folder, recursive=True)
+        for p in parts:
+            for k, t in zip(p["k"], p["t"], strict=True):
+                part = f"{folder}/_{uuid.uuid4().hex}.part"
+                with files.open_output_stream(part) as out:
+                    out.write(t.encode())
+                files.move(part, f"{folder}/{k}{suffix}")
+            yield pd.DataFrame({"n": [len(p)]})
+
+    rows = df.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows.mapInPandas(write, "n long").write.mode("overwrite").format("noop").save()
 
 
 def append_batch(path: str):

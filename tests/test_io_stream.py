@@ -41,7 +41,7 @@ def test_json_round_trip(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out/csv")).first().case_type == "আপিল"
     writers.write_texts(df.select("id", F.col("case_type").alias("text")), str(tmp_path / "t"))
     writers.export_text_files(df, str(tmp_path / "files"), text="case_type")
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1 and (tmp_path / "files/id=1").is_dir()
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1 and (tmp_path / "files/1.txt").read_text(encoding="utf-8") == "আপিল"
 
 
 def test_model_seam(spark, tmp_path):
