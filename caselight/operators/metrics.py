@@ -54,7 +54,8 @@ def overlaps(pairs: DataFrame, orders: tuple[int, ...], key: str = "id", keep: t
 
         return [tag(n) for n in orders]
 
-    at_home = pairs.select(key, *keep, "h", "r").repartition(F.col(key))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated: the rows are few, their grams many
+    at_home = pairs.select(key, *keep, "h", "r").repartition(parts, F.col(key))
     each = at_home.select(key, *keep, F.explode_outer(F.concat(*tagged("h", 0), *tagged("r", 1))).alias("x")).select(key, *keep, "x.n", "x.side", "x.g")
     c = each.groupBy(key, *keep, "n", "g").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
 
@@ -206,8 +207,7 @@ def bleu_scores(pairs: DataFrame, key: str = "id", order: int = 4) -> DataFrame:
 
 def content_tokens(text: Column) -> Column:
     """Distinct numbers and words of three characters and more, edge punctuation stripped."""
-    edge = "[" + "".join("\\" + c if c in "[]()-.{}" else c for c in lex.EDGE_PUNCTUATION) + "]+"
-    t = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.regexp_replace(F.regexp_replace(w, "^" + edge, ""), edge + "\\z", ""))
+    t = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.btrim(w, F.lit(lex.EDGE_PUNCTUATION)))
     return F.array_distinct(F.filter(t, lambda w: (F.length(w) >= LEAST_TOKEN) | w.rlike(f"^(?:{lex.NUMERIC})\\z")))
 
 
