@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,32 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import new_path, spread
+
 #: Words are maximal runs of anything but these six ASCII characters; ``bytes.split()`` splits on the same set.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A key is hot if it holds more than this share (one in so many) of all rows; so there are fewer hot keys than this.
 HOT_SHARE = 1024
 
-_own_root: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
-
-    Only a local master, where driver and executors share a disk, may do without: it gets a folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _own_root:
-        _own_root[key] = tempfile.mkdtemp(prefix="caselight-")
-    return _own_root[key]
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
@@ -46,7 +29,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     planner, so that Spark broadcasts it only when it is below the session's threshold.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/caselight/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._caselight_path = path
@@ -104,7 +87,9 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str = "n"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; ``documents`` in too few row groups for the cores is dealt out anew, see :func:`caselight.tables.spread`."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, "doc_id") if name == "documents" else df
 
 
 def raw(text: str = "text") -> Column:
