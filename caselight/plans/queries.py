@@ -265,8 +265,9 @@ def parse_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.parse_replies(enriched(spark, sf_dir).select("doc_id", "reply"), "reply", "doc_id").select("doc_id", "facts", "decision", "raw_output", "parse_error")
 
 
-def _references(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+def _references(spark: SparkSession, sf_dir: str, *keep: str, where: Column | None = None) -> DataFrame:
     e = enriched(spark, sf_dir)
+    e = e if where is None else e.where(where)
     kind = F.when(F.col("meta_name").isNull(), "Unknown").otherwise(classify.case_type(F.col("meta_name")))
     return e.select("doc_id", *keep, kind.alias("case_type"), refs.order_tail(F.col("text_bn")).alias("reference_summary_bn"), F.lit("proxy_order_extraction").alias("reference_type"))
 
@@ -283,10 +284,13 @@ def reference_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    """References and summaries of one row; a blank side leaves the pair out."""
-    r = _references(spark, sf_dir, "summary_input", *keep)
-    p = r.select("doc_id", "case_type", F.col("reference_summary_bn").alias("ref"), models.lead_words(F.col("summary_input")).alias("hyp"), *keep)
-    return p.where((strip(F.col("ref")) != "") & (strip(F.col("hyp")) != ""))
+    """References and summaries of one row; a blank side leaves the pair out.
+
+    A reference is blank where its text is, and so is a summary: the filter looks at the texts, before either is made.
+    """
+    both = (strip(F.col("text_bn")) != "") & (strip(F.col("summary_input")) != "")
+    r = _references(spark, sf_dir, "summary_input", *keep, where=both)
+    return r.select("doc_id", "case_type", F.col("reference_summary_bn").alias("ref"), models.lead_words(F.col("summary_input")).alias("hyp"), *keep)
 
 
 @_query
