@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1024
 
 _written: dict[str, list[str]] = {}
+_buckets: dict[str, str] = {}  # path of a bucketed table: its name
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -37,12 +39,41 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows a batch than usual for what is written meanwhile, as each row holds the arrays of a whole text."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    old = {k: spark.conf.get(k, None) for k in names}
+    for k in names:
+        spark.conf.set(k, str(rows))
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def bucketed(df: DataFrame, tag: str, keys: list[str]) -> DataFrame:
+    """As :func:`materialize`, but in hash buckets of ``keys``: joins by them later on leave this table where it is."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    name = "caselight_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).format("parquet").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._caselight_path = path
+    _buckets[path] = name
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return out
+
+
 def discard(spark: SparkSession, *written: DataFrame | str) -> None:
     """Delete tables of :func:`materialize` that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     known = _written.get(spark.sparkContext.applicationId, [])
     for df in written:
         name = df if isinstance(df, str) else df._caselight_path
+        if name in _buckets:
+            spark.sql(f"DROP TABLE IF EXISTS {_buckets.pop(name)}")
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         if name in known:

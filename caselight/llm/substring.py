@@ -8,7 +8,7 @@ Names follow from what they stand for, so equal runs and pairs get equal names i
 Levels are grouped into Spark rounds. A round aggregates the names that its symbols got in all distinct texts into one
 table, which tells the shared symbols from those with one place in the corpus. A symbol whose reach lies in a window is
 interior to it, and equal windows have equal interior symbols: a window with an interior symbol that is not shared is
-unique and goes. Only texts with windows left take part in the next round, which names larger symbols.
+unique and goes. Only the stretches with windows left take part in the next round, which names larger symbols.
 
 The windows that are left are verified by symbol identity and extension: the names of all their interior symbols, the
 words from the window's start to the first of them and from the last to the window's end, and 32 more bits over all words.
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, materialize, raw, release, spread_join
+from .common import batches_of, bucketed, materialize, raw, release, small_batches, spread_join
 
 WINDOW = 35
-#: Levels that each Spark round names.
-LEVELS = (5, 2)
+#: Levels that each Spark round names. After four a symbol has about three words and reaches ten to either side, so that a
+#: window has about six interior ones; larger symbols are interior to few windows.
+LEVELS = (4, 1)
 #: Reaches beyond this are all the same: no window holds them.
 FAR = 1 << 10
 #: Words that numpy works on at once.
@@ -217,13 +218,14 @@ def _parse(width: int, levels: int):
                 long = np.flatnonzero(np.diff(x.ends, prepend=0) >= width)
                 state = _state(x, x.starts(width), width, long)
                 keep = [batch.column(k).slice(part.start, part.stop - part.start).take(pa.array(long)) for k in ("h1", "h2", "copies")]
-                yield pa.RecordBatch.from_arrays([*keep, *state.values()], names=["h1", "h2", "copies", *state])
+                at = pa.array(np.zeros(len(long), np.int32))
+                yield pa.RecordBatch.from_arrays([*keep, at, *state.values()], names=["h1", "h2", "copies", "at", *state])
 
     return run
 
 
-def _loaded(it: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, Symbols, np.ndarray]]:
-    """(rids, symbols, live window starts) of a state joined with its ``shared`` names, some texts at a time."""
+def _loaded(it: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, Symbols, np.ndarray]]:
+    """(rows, symbols, live window starts) of a state joined with its ``shared`` names, some texts at a time."""
     for batch in it:
         sizes = np.diff(batch.column("words").offsets.to_numpy())
         cut = np.flatnonzero(np.diff(np.cumsum(sizes) // WORDS, prepend=0)) if len(sizes) else []
@@ -243,19 +245,52 @@ def _loaded(it: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array
             alive = np.cumsum(mark)[:-1] > 0
             asked = x.interior(alive, width)
             dead = asked & ~np.isin(x.name, col["shared"].view(np.uint64))
-            yield part.column("rid"), x, x.without(dead, alive, width)
+            yield part, x, x.without(dead, alive, width)
+
+
+def _stretches(x: Symbols, alive: np.ndarray, width: int) -> tuple[Symbols, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, live starts, text, place) of the stretches that live windows cover, each a text of its own now.
+
+    Symbols that an edge cuts fall apart into words of unlimited reach, so that whatever depends on them is interior to no
+    window; a window's interior symbols lie in its stretch, so they stay as they are.
+    """
+    mark = np.zeros(len(x.words) + 1, np.int64)
+    at = np.flatnonzero(alive)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + width, -1)
+    cover = np.cumsum(mark)[:-1] > 0
+    first = cover & np.append(True, ~cover[:-1] | (np.diff(x.doc) > 0))
+    stretch = np.where(cover, np.cumsum(first), 0)
+    whole = (stretch[x.start] == stretch[x.end - 1]) & cover[x.start]
+    inside = np.zeros(len(x.words) + 1, np.int64)
+    np.add.at(inside, x.start[whole], 1)
+    np.add.at(inside, x.end[whole], -1)
+    loose = np.flatnonzero(cover & (np.cumsum(inside)[:-1] == 0))
+    order = np.argsort(np.append(x.start[whole], loose), kind="stable")
+    far, one = np.full(len(loose), FAR), np.ones(len(loose), np.int64)
+    both = lambda a, b: np.append(a, b)[order]
+    begin = np.flatnonzero(first)
+    out = Symbols(
+        x.words[cover], np.cumsum(np.bincount(stretch[cover] - 1, minlength=len(begin))), both(x.name[whole], x.words[loose] & _EVEN), both((x.end - x.start)[whole], one),
+        both((x.start - x.left)[whole], far), both((x.right - x.end)[whole], far),
+    )
+    return out, alive[cover], x.doc[begin], begin - np.append(0, x.ends[:-1])[x.doc[begin]]
 
 
 def _go_on(width: int, done: int, levels: int):
-    """The state of the next round: texts with live windows, their symbols named for ``levels`` more levels."""
+    """The state of the next round: stretches of live windows, their symbols named for ``levels`` more levels."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rid, x, alive in _loaded(it, width):
-            pick = np.unique(x.doc[alive])
+        for rows, x, alive in _loaded(it, width):
+            if not alive.any():
+                continue
+            x, alive, text, place = _stretches(x, alive, width)
             for r in range(done, done + levels):
                 x.level(r)
-            state = _state(x, alive, width, pick)
-            yield pa.RecordBatch.from_arrays([rid.take(pa.array(pick)), *state.values()], names=["rid", *state])
+            state = _state(x, alive, width, np.arange(len(x.ends)))
+            keep = [rows.column(k).take(pa.array(text)) for k in ("h1", "h2", "rid")]
+            at = pa.array((rows.column("at").to_numpy()[text] + place).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*keep, at, *state.values()], names=["h1", "h2", "rid", "at", *state])
 
     return run
 
@@ -264,22 +299,23 @@ def _windows(width: int):
     """(w1, rest, rid) of every live window; ``rest`` packs the other 32 bits, the start, and whether its own text repeats it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x, alive in _loaded(it, width):
+        for rows, x, alive in _loaded(it, width):
             at = np.flatnonzero(alive)
             if not len(at):
                 continue
-            rid = ids.to_numpy()
+            rid = rows.column("rid").to_numpy()
             w1, w2 = x.keys(at, width)
             i = x.doc[at]
             s = at - (x.ends - np.diff(x.ends, prepend=0))[i]
-            # windows that a text itself repeats are settled here; all but the first go on under keys of their own,
-            # so that no key has more rows than there are texts
+            # windows that a stretch itself repeats are settled here; all but the first go on under keys of their own,
+            # so that no key has more rows than there are stretches
             order = np.lexsort((s, w2, w1, i))
             same = (np.diff(i[order]) == 0) & (np.diff(w1[order]) == 0) & (np.diff(w2[order]) == 0)
             later, own = np.zeros(len(s), bool), np.zeros(len(s), bool)
             later[order[1:]] = same
             own[order[1:]] = same
             own[order[:-1]] |= same
+            s = s + rows.column("at").to_numpy()[i]
             w1 = np.where(later, mix(w1 + rid[i].view(np.uint64) * _P + s.astype(np.uint64) * _Q), w1).view(np.int64)
             rest = (w2.astype(np.int64) << 32) | (s.astype(np.int64) << 1) | own  # one number: fewer bytes to write
             yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(rest), pa.array(rid[i])], names=["w1", "rest", "rid"])
@@ -316,8 +352,8 @@ def _remove(width: int, with_text: bool):
     return run
 
 
-def shared_names(state: DataFrame) -> DataFrame:
-    """(rid, shared): of the names that each text asks for those that occur elsewhere, too, or twice in it.
+def shared_names(state: DataFrame, reps: DataFrame) -> DataFrame:
+    """(h1, h2, shared): of the names that each text asks for those that occur elsewhere, too, or twice in it.
 
     The round's table has one row a name; hot names, which many texts ask for, are spread by :func:`spread_join`.
     """
@@ -325,15 +361,18 @@ def shared_names(state: DataFrame) -> DataFrame:
     asked = state.select("rid", F.explode("ask").alias("a")).select("rid", F.col("a").bitwiseAND(F.lit(-2)).alias("name"), (F.col("a") % 2 != 0).alias("twice"))
     names = asked.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("name", "n")
     names = materialize(names, "sub-names")
+    release(spark)
     found = spread_join(asked.select("rid", "name"), names, ["name"]).groupBy("rid").agg(F.collect_list("name").alias("shared"))
-    found = materialize(found, "sub-shared")
-    discard(spark, names)
-    return found
+    found = materialize(found, "sub-found-names")
+    release(spark, names)
+    out = materialize(found.join(reps.hint("merge"), "rid").select("h1", "h2", "shared"), "sub-shared")
+    release(spark, found)
+    return out
 
 
 def _with_shared(state: DataFrame, shared: DataFrame) -> DataFrame:
-    """Every text of the state with its shared names; merged at every size, as both grow with the corpus."""
-    s = state.drop("ask").join(shared.hint("merge"), "rid", "left")
+    """Every row of the state with its text's shared names; the state is in buckets of its key and is not shuffled."""
+    s = state.drop("ask").join(shared.hint("merge"), ["h1", "h2"], "left")
     return s.withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
 
 
@@ -346,21 +385,22 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, levels: tuple[int, ..
     spark = docs.sparkSession
     texts = docs.select(*text_key(), raw().alias("t")).where(F.length("t") >= 2 * width - 1)
     texts = texts.groupBy("h1", "h2").agg(F.any_value("t").alias("t"), F.count(F.lit(1)).alias("copies"))
-    state = texts.mapInArrow(_parse(width, levels[0]), f"h1 long, h2 long, copies long, {_SCHEMA}")
-    state = materialize(state.withColumn("rid", F.monotonically_increasing_id()), "sub-state")
-    release(spark)
-    reps = materialize(state.select("rid", "h1", "h2", "copies"), "sub-texts")
-    state_of, done = state.drop("h1", "h2", "copies"), levels[0]
-    for more in levels[1:]:
-        shared = shared_names(state_of)
+    state = texts.mapInArrow(_parse(width, levels[0]), f"h1 long, h2 long, copies long, at int, {_SCHEMA}")
+    with small_batches(spark):
+        state = bucketed(state.withColumn("rid", F.monotonically_increasing_id()), "sub-state", ["h1", "h2"])
         release(spark)
-        nxt = materialize(_with_shared(state_of, shared).mapInArrow(_go_on(width, done, more), f"rid long, {_SCHEMA}"), "sub-state")
-        release(spark, state, shared)
-        state = state_of = nxt
-        done += more
-    shared = shared_names(state_of)
-    win = _with_shared(state_of, shared).mapInArrow(_windows(width), "w1 long, rest long, rid long")
-    win = materialize(win.select("w1", F.shiftright("rest", 32).alias("w2"), F.shiftright(F.col("rest").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int").alias("s"), (F.col("rest") % 2 != 0).alias("own"), "rid"), "sub-windows")
+        reps = materialize(state.select("rid", "h1", "h2", "copies"), "sub-texts")
+        done = levels[0]
+        for more in levels[1:]:
+            shared = shared_names(state, reps)
+            nxt = _with_shared(state, shared).mapInArrow(_go_on(width, done, more), f"h1 long, h2 long, rid long, at int, {_SCHEMA}")
+            nxt = bucketed(nxt, "sub-state", ["h1", "h2"])
+            release(spark, state, shared)
+            state = nxt
+            done += more
+        shared = shared_names(state, reps)
+        win = _with_shared(state, shared).mapInArrow(_windows(width), "w1 long, rest long, rid long")
+        win = materialize(win.select("w1", F.shiftright("rest", 32).alias("w2"), F.shiftright(F.col("rest").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int").alias("s"), (F.col("rest") % 2 != 0).alias("own"), "rid"), "sub-windows")
     release(spark, state, shared)
     many = materialize(win.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sub-many")
     again = spread_join(win.where("not own"), many, ["w1", "w2"]).select("rid", "s").union(win.where("own").select("rid", "s"))
