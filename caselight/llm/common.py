@@ -58,7 +58,7 @@ def bucketed(df: DataFrame, tag: str, keys: list[str]) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     name = "caselight_" + path.rsplit("/", 1)[-1].replace("-", "_")
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).format("parquet").option("path", path).saveAsTable(name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._caselight_path = path
     _buckets[path] = name

@@ -170,8 +170,7 @@ class Symbols:
         return mix(k), (c >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-_LISTS = {"words": pa.int64(), "name": pa.int64(), "size": pa.int32(), "before": pa.int32(), "after": pa.int32(), "alive": pa.int32(), "ask": pa.int64()}
-_SCHEMA = "words array<long>, name array<long>, size array<int>, before array<int>, after array<int>, alive array<int>, ask array<long>"
+_SCHEMA = "words array<long>, name array<long>, size array<int>, before array<int>, after array<int>, alive array<int>"
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -179,29 +178,19 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, kind))
 
 
-def _state(x: Symbols, alive: np.ndarray, width: int, pick: np.ndarray) -> dict[str, pa.Array]:
-    """Columns of the texts in ``pick``: their words, symbols, starts of live windows, and the names to ask for.
-
-    A name's lowest bit tells whether the text has it twice.
-    """
+def _state(x: Symbols, alive: np.ndarray, pick: np.ndarray) -> dict[str, pa.Array]:
+    """Columns of the texts in ``pick``: their words, symbols and starts of live windows."""
     n = len(x.ends)
-    d = x.doc[x.start] if len(x.start) else np.zeros(0, np.int64)
-    per = np.bincount(d, minlength=n)
+    per = np.bincount(x.doc[x.start], minlength=n) if len(x.start) else np.zeros(n, np.int64)
     begin = np.append(0, x.ends[:-1])
     mark = np.flatnonzero(alive)
     edge = np.flatnonzero(np.append(True, (np.diff(mark) > 1) | (np.diff(x.doc[mark]) > 0))) if len(mark) else np.zeros(0, int)
     lo, hi = mark[edge], mark[np.append(edge[1:], len(mark)) - 1] if len(mark) else mark
     spans = np.stack([lo, hi], 1).reshape(-1) - np.repeat(begin[x.doc[lo]], 2) if len(mark) else mark
-    inner = np.flatnonzero(x.interior(alive, width))
-    order = np.lexsort((x.name[inner], d[inner]))
-    dn, nn = d[inner][order], x.name[inner][order]
-    first = np.flatnonzero(np.append(True, (dn[1:] != dn[:-1]) | (nn[1:] != nn[:-1]))) if len(dn) else np.zeros(0, int)
-    twice = np.diff(np.append(first, len(dn))) > 1
     full = {
         "words": _lists(x.words, np.diff(x.ends, prepend=0), pa.int64()), "name": _lists(x.name, per, pa.int64()), "size": _lists(x.end - x.start, per, pa.int32()),
         "before": _lists(np.minimum(x.start - x.left, FAR), per, pa.int32()), "after": _lists(np.minimum(x.right - x.end, FAR), per, pa.int32()),
         "alive": _lists(spans, 2 * np.bincount(x.doc[lo], minlength=n) if len(mark) else np.zeros(n, int), pa.int32()),
-        "ask": _lists(nn[first] | twice.astype(np.uint64), np.bincount(dn[first], minlength=n), pa.int64()),
     }
     return {k: v.take(pa.array(pick)) for k, v in full.items()}
 
@@ -216,7 +205,7 @@ def _parse(width: int, levels: int):
                 for r in range(levels):
                     x.level(r)
                 long = np.flatnonzero(np.diff(x.ends, prepend=0) >= width)
-                state = _state(x, x.starts(width), width, long)
+                state = _state(x, x.starts(width), long)
                 keep = [batch.column(k).slice(part.start, part.stop - part.start).take(pa.array(long)) for k in ("h1", "h2", "copies")]
                 at = pa.array(np.zeros(len(long), np.int32))
                 yield pa.RecordBatch.from_arrays([*keep, at, *state.values()], names=["h1", "h2", "copies", "at", *state])
@@ -287,7 +276,7 @@ def _go_on(width: int, done: int, levels: int):
             x, alive, text, place = _stretches(x, alive, width)
             for r in range(done, done + levels):
                 x.level(r)
-            state = _state(x, alive, width, np.arange(len(x.ends)))
+            state = _state(x, alive, np.arange(len(x.ends)))
             keep = [rows.column(k).take(pa.array(text)) for k in ("h1", "h2", "rid")]
             at = pa.array((rows.column("at").to_numpy()[text] + place).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*keep, at, *state.values()], names=["h1", "h2", "rid", "at", *state])
@@ -353,16 +342,16 @@ def _remove(width: int, with_text: bool):
 
 
 def shared_names(state: DataFrame, reps: DataFrame) -> DataFrame:
-    """(h1, h2, shared): of the names that each text asks for those that occur elsewhere, too, or twice in it.
+    """(h1, h2, shared): of each text's names those that occur elsewhere, too, or twice in it.
 
-    The round's table has one row a name; hot names, which many texts ask for, are spread by :func:`spread_join`.
+    The round's table has one row a name; hot names, which many texts have, are spread by :func:`spread_join`.
     """
     spark = state.sparkSession
-    asked = state.select("rid", F.explode("ask").alias("a")).select("rid", F.col("a").bitwiseAND(F.lit(-2)).alias("name"), (F.col("a") % 2 != 0).alias("twice"))
-    names = asked.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("name", "n")
+    asked = state.select("rid", F.explode("name").alias("name"))
+    names = asked.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     names = materialize(names, "sub-names")
     release(spark)
-    found = spread_join(asked.select("rid", "name"), names, ["name"]).groupBy("rid").agg(F.collect_list("name").alias("shared"))
+    found = spread_join(asked, names, ["name"]).groupBy("rid").agg(F.collect_set("name").alias("shared"))
     found = materialize(found, "sub-found-names")
     release(spark, names)
     out = materialize(found.join(reps.hint("merge"), "rid").select("h1", "h2", "shared"), "sub-shared")
@@ -372,7 +361,7 @@ def shared_names(state: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _with_shared(state: DataFrame, shared: DataFrame) -> DataFrame:
     """Every row of the state with its text's shared names; the state is in buckets of its key and is not shuffled."""
-    s = state.drop("ask").join(shared.hint("merge"), ["h1", "h2"], "left")
+    s = state.join(shared.hint("merge"), ["h1", "h2"], "left")
     return s.withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
 
 
