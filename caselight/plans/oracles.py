@@ -5,10 +5,13 @@ RE2 has no lookaround and DuckDB's list functions differ from Spark's, so each f
 
 from __future__ import annotations
 
+import sys
+
 from ..functions import lexicon as lex
 from ..functions.chars import WORD, WS_RE2, re2
 from ..operators.packs import FALLBACK_ERROR
 from .enrich import CTE, CTE_PAGES
+from .oracles_io import more_sql
 
 SEP = " ¦ "
 
@@ -367,4 +370,4 @@ def oracle_sql() -> dict[str, str]:
         f"c AS (SELECT doc_id, n, array_to_string(list_transform(range(0, n), lambda zi: substr(text, zi * 1000 + 1, 1000)), chr(10)) AS t FROM t) SELECT doc_id, n AS n_chunks, {digest('t', 'text')} FROM c",
         "utf8_gate": f"SELECT doc_id, {digest('text', 'text')} FROM documents WHERE doc_id % 5 <> 0 AND length({strip('text')}) >= 200",
     }
-    return out
+    return out | more_sql(sys.modules[__name__])

@@ -68,7 +68,7 @@ def defaulted_texts(ids: DataFrame, texts: DataFrame, key: str = "id") -> DataFr
 
 def metadata_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header (a byte-order mark is fine); id and case name stripped; the last of several rows per id wins."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     raw = raw.select(*[F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string").alias(c) for c in ("id", "case_name", "pdf_url", "saved_file", "original_filename")])
     t = raw.withColumn("_n", F.monotonically_increasing_id()).withColumns({c: strip(F.col(c)) for c in ("id", "case_name")})
     last = W.partitionBy("id").orderBy(F.desc("_n"))
