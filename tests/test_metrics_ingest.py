@@ -98,3 +98,15 @@ def test_dense_ids_are_dense(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     got = ingest.dense_ids(df, ["k"]).orderBy("k").collect()
     assert [r.id for r in got] == [f"J{i + 1:05d}" for i in range(1000)]
+
+
+def test_dense_ids_at_size(spark):
+    df = spark.range(400_000).select(((F.col("id") * 7919) % 400_009).alias("page"), F.col("id").alias("pos"), F.md5(F.col("id").cast("string")).alias("payload"))
+    got = ingest.dense_ids(df, ["page", "pos"], 6).agg(F.count_distinct("id").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).first()
+    assert (got.n, got.a, got.b) == (400_000, "J000001", "J400000")
+
+
+def test_bleu_columns_equal_the_plain_form(spark):
+    rows = [(1, "the cat sat", "the cat is on the mat"), (2, "a b c d e", "a b c d e"), (3, "x y", "a b"), (4, "Hello, 1,000.5 world", "Hello 1,000.5 world."), (6, "", "a"), (7, "a a a a", "a b a")]
+    got = {r.id: r.bleu for r in metrics.bleu_scores(spark.createDataFrame(rows, "id long, hyp string, ref string")).collect()}
+    assert got == {i: pytest.approx(metrics.sentence_bleu(h, r)) for i, h, r in rows}
