@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
-from ..functions.chars import contains_any, java, last_n, let
+from ..functions.chars import has_any, java, last_n, let
 from .sentences import evidence_sentences
 
 
@@ -14,13 +14,26 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+def lowered(s: Column) -> Column:
+    """(x, low) of each sentence: lower case costs more than any search in it, so all tests share it."""
+    return F.transform(s, lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
+
+
+def _texts(found: Column) -> Column:
+    return F.transform(found, lambda e: e["x"])
+
+
 def facts(s: Column) -> Column:
+    return let(lowered(s), facts_of)
+
+
+def facts_of(s: Column) -> Column:
     """The first marker whose window of six sentences says something, else (under three) every fact signal; six at most.
 
     Each sentence is looked at once; windows only read the flags, and none is built but the first that counts.
     """
-    def flag(x: Column) -> Column:
-        return F.struct(x.alias("x"), contains_any(x, lex.FACT_MARKERS).alias("m"), contains_any(x, lex.FACT_EXCLUDE).alias("out"), contains_any(x, lex.FACT_SIGNALS).alias("sig"))
+    def flag(e: Column) -> Column:
+        return F.struct(e["x"].alias("x"), *[has_any(e["low"], terms).alias(k) for k, terms in (("m", lex.FACT_MARKERS), ("out", lex.FACT_EXCLUDE), ("sig", lex.FACT_SIGNALS))])
 
     def chosen(f: Column) -> Column:
         marked = F.filter(F.transform(f, lambda e, i: F.when(e["m"], i + 1)), lambda i: i.isNotNull())
@@ -33,25 +46,37 @@ def facts(s: Column) -> Column:
 
 
 def issues(s: Column) -> Column:
+    return let(lowered(s), issues_of)
+
+
+def issues_of(s: Column) -> Column:
     """The first marker and its followers, all numbered issues, else three ``whether`` sentences of the court; four at most."""
-    at = F.array_position(F.transform(s, lambda x: contains_any(x, lex.ISSUE_MARKERS)), True).cast("int")
-    follow = F.filter(F.slice(s, F.greatest(at, F.lit(0)) + 1, 4), lambda x: contains_any(x, lex.ISSUE_FOLLOWERS))
-    a = F.when(at > 0, F.concat(F.slice(s, F.greatest(at, F.lit(1)), 1), follow)).otherwise(_none())
-    b = F.filter(s, lambda x: contains_any(x, lex.ISSUE_HEADINGS))
+    at = F.array_position(F.transform(s, lambda e: has_any(e["low"], lex.ISSUE_MARKERS)), True).cast("int")
+    follow = F.filter(F.slice(s, F.greatest(at, F.lit(0)) + 1, 4), lambda e: has_any(e["low"], lex.ISSUE_FOLLOWERS))
+    a = F.when(at > 0, _texts(F.concat(F.slice(s, F.greatest(at, F.lit(1)), 1), follow))).otherwise(_none())
+    b = _texts(F.filter(s, lambda e: has_any(e["low"], lex.ISSUE_HEADINGS)))
     ab = F.concat(a, b)
-    c = F.slice(F.filter(s, lambda x: contains_any(x, ["whether"]) & (F.length(x) < 700) & ~contains_any(x, lex.ISSUE_COUNSEL)), 1, 3)
+    c = _texts(F.slice(F.filter(s, lambda e: has_any(e["low"], ["whether"]) & (F.length(e["x"]) < 700) & ~has_any(e["low"], lex.ISSUE_COUNSEL)), 1, 3))
     return F.slice(F.array_distinct(F.when(F.size(ab) > 0, ab).otherwise(c)), 1, 4)
 
 
 def legal_basis(s: Column) -> Column:
-    return F.slice(F.array_distinct(F.filter(s, lambda x: ~contains_any(x, lex.LEGAL_EXCLUDE) & F.lower(x).rlike(java(lex.LEGAL_BASIS)))), 1, 8)
+    return let(lowered(s), legal_basis_of)
+
+
+def legal_basis_of(s: Column) -> Column:
+    return F.slice(F.array_distinct(_texts(F.filter(s, lambda e: ~has_any(e["low"], lex.LEGAL_EXCLUDE) & e["low"].rlike(java(lex.LEGAL_BASIS))))), 1, 8)
 
 
 def court_reasoning(s: Column) -> Column:
+    return let(lowered(s), court_reasoning_of)
+
+
+def court_reasoning_of(s: Column) -> Column:
     """From 35 % of the sentences on: what the court says, not counsel; the last eight."""
     n = F.size(s)
     late = F.when(n > 0, F.slice(s, F.floor(n * 0.35).cast("int") + 1, n)).otherwise(s)
-    return last_n(F.array_distinct(F.filter(late, lambda x: ~contains_any(x, lex.COUNSEL_SIGNALS) & contains_any(x, lex.COURT_SIGNALS))), 8)
+    return last_n(F.array_distinct(_texts(F.filter(late, lambda e: ~has_any(e["low"], lex.COUNSEL_SIGNALS) & has_any(e["low"], lex.COURT_SIGNALS)))), 8)
 
 
 COMPONENTS = {"issue": "legal_issue_evidence", "facts": "relevant_fact_evidence", "legal_basis": "legal_basis_evidence", "reasoning": "court_reasoning_evidence", "decision": "decision_evidence"}
@@ -59,10 +84,10 @@ COMPONENTS = {"issue": "legal_issue_evidence", "facts": "relevant_fact_evidence"
 
 def with_evidence(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the four evidence arrays that follow from the text: one projection over one array of sentences."""
-    df = df.withColumn("_s", evidence_sentences(F.col(text)))
+    df = df.withColumn("_s", lowered(evidence_sentences(F.col(text))))
     return df.withColumns({
-        "legal_issue_evidence": issues(F.col("_s")), "relevant_fact_evidence": facts(F.col("_s")),
-        "legal_basis_evidence": legal_basis(F.col("_s")), "court_reasoning_evidence": court_reasoning(F.col("_s")),
+        "legal_issue_evidence": issues_of(F.col("_s")), "relevant_fact_evidence": facts_of(F.col("_s")),
+        "legal_basis_evidence": legal_basis_of(F.col("_s")), "court_reasoning_evidence": court_reasoning_of(F.col("_s")),
     }).drop("_s")
 
 

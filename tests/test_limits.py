@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+
+from pyspark.sql import functions as F
+
+from caselight.functions import chars
+from caselight.functions import lexicon as lex
 from caselight.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -14,3 +22,15 @@ def test_first_prompts_work_on_no_other_text(spark):
     assert any("GlobalLimit" in x for x in below) and not any("regexp_replace" in x for x in below)
     every = queries.queries()["prompt_render"](spark, DATA).orderBy("doc_id").limit(3)
     assert df.orderBy("doc_id").collect() == every.collect()
+
+
+def test_legal_patterns_take_linear_time_and_find_the_same(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["act, 1999", "act,", "a", " ", "-", "é", "7", ".", "x", "’", "code of", "rule 9", "order x rule"]) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in lex.LEGAL_BASIS:
+        found = [bool(re.search(p, t, re.I)) for t in texts]
+        assert [r.m for r in df.select(F.col("t").rlike(chars.java([p])).alias("m")).collect()] == found, p
+    long = spark.createDataFrame([("word " * 40_000,)], "t string").select(F.col("t").rlike(chars.java(lex.LEGAL_BASIS)).alias("m"))
+    began = time.perf_counter()
+    assert not long.first().m and time.perf_counter() - began < 8
