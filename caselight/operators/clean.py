@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import lexicon as lex
-from ..functions.chars import WORD, WS, java, let, lines, rstrip, strip
+from ..functions.chars import BLANK, WORD, java, let, lines, rstrip, strip
 
 MIN_REPEATS = 4
 
@@ -68,7 +68,7 @@ def collapse_whitespace(c: Column) -> Column:
 
 def bangla_stops(c: Column) -> Column:
     """A full stop before white space and a Bangla character becomes a danda."""
-    return F.regexp_replace(c, f"\\.({WS}+)(?=[\u0980-\u09ff])", "।$1")
+    return F.regexp_replace(c, f"\\.({BLANK}+)(?=[\u0980-\u09ff])", "।$1")
 
 
 def stray_english_lines(c: Column) -> Column:
