@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import time
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from caselight.functions import chars
 from caselight.functions import lexicon as lex
 from caselight.plans import queries
+from caselight.sources import writers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,3 +36,13 @@ def test_legal_patterns_take_linear_time_and_find_the_same(spark):
     long = spark.createDataFrame([("word " * 40_000,)], "t string").select(F.col("t").rlike(chars.java(lex.LEGAL_BASIS)).alias("m"))
     began = time.perf_counter()
     assert not long.first().m and time.perf_counter() - began < 8
+
+
+def test_json_array_is_written_without_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **k: 1 / 0)
+    df = spark.range(0, 50, 1, 7).select(F.format_string("%02d", 49 - F.col("id")).alias("id"), F.lit('আ"\n').alias("t"), F.lit(None).cast("string").alias("none"))
+    for some, n in ((df, 50), (df.where("false"), 0)):
+        writers.write_json_array(some, f"file://{tmp_path}/a.json", "id")
+        want = [{"id": f"{i:02d}", "t": 'আ"\n', "none": None} for i in range(n)]
+        assert (tmp_path / "a.json").read_text(encoding="utf-8") == json.dumps(want, ensure_ascii=False, indent=2)
+        assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["a.json"]
