@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from caselight.functions import chars
 from caselight.functions import lexicon as lex
 from caselight.plans import queries
-from caselight.sources import writers
+from caselight.sources import readers, writers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -46,3 +46,14 @@ def test_json_array_is_written_without_the_driver(spark, tmp_path, monkeypatch):
         want = [{"id": f"{i:02d}", "t": 'আ"\n', "none": None} for i in range(n)]
         assert (tmp_path / "a.json").read_text(encoding="utf-8") == json.dumps(want, ensure_ascii=False, indent=2)
         assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["a.json"]
+
+
+def test_text_folders_are_not_listed_by_the_driver(spark, tmp_path):
+    (tmp_path / "sub.txt").mkdir()
+    for i in range(300):
+        (tmp_path / f"{i} +%.TXT").write_bytes(b"a\r\nb\xff%d" % i)
+    for name in ("_hidden.txt", ".dot.txt", "no.md"):
+        (tmp_path / name).write_bytes(b"no")
+    df = readers.text_folder(spark, f"file://{tmp_path}/")
+    assert not df.inputFiles()
+    assert sorted((r.id, r.source_file, r.text) for r in df.collect()) == sorted((f"{i} +%", f"{i} +%.TXT", f"a\nb{i}") for i in range(300))
