@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -16,6 +17,8 @@ from ..functions import lexicon as lex
 from ..functions.chars import WS, let, strip, word_count, words
 
 LEAST_TOKEN = 3
+#: Pairs whose tokens are Python objects at a time.
+PAIRS = 256
 
 
 def scoring_pairs(references: DataFrame, hypotheses: DataFrame, key: str = "id") -> DataFrame:
@@ -29,15 +32,6 @@ def skipped(references: DataFrame, pairs: DataFrame, key: str = "id") -> DataFra
     return references.select(key).join(pairs.select(key), key, "left_anti")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """n-grams joined by one space."""
-    def grams(t: Column) -> Column:
-        size = F.size(t) - (n - 1)
-        return F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    return let(tokens, grams)
-
-
 def _f(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / F.greatest(p + r, F.lit(1e-300))).otherwise(0.0)
 
@@ -45,24 +39,26 @@ def _f(p: Column, r: Column) -> Column:
 def overlaps(pairs: DataFrame, orders: tuple[int, ...], key: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, o1, h1, r1, ...): clipped overlap of ``h`` and ``r`` tokens' n-grams and both totals, for each order.
 
-    The pairs are dealt out by key once; grams of both sides and all orders come from one explode behind it and are
-    counted where they are, so grams are not shuffled. Every pair has a row; ``keep`` are numbers that go along.
+    Pairs are counted where they are, in Arrow batches, a few at a time: no gram becomes a row, nothing is shuffled. Every
+    pair has a row; ``keep`` are numbers that go along.
     """
-    def tagged(c: str, side: int) -> list[Column]:
-        def tag(n: int) -> Column:
-            return F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("g")))
-
-        return [tag(n) for n in orders]
-
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated: the rows are few, their grams many
-    at_home = pairs.select(key, *keep, "h", "r").repartition(parts, F.col(key))
-    each = at_home.select(key, *keep, F.explode_outer(F.concat(*tagged("h", 0), *tagged("r", 1))).alias("x")).select(key, *keep, "x.n", "x.side", "x.g")
-    c = each.groupBy(key, *keep, "n", "g").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-
-    def total(v: Column, n: int) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("n") == n, v)), F.lit(0))
-
-    return c.groupBy(key, *keep).agg(*[total(v, n).alias(f"{name}{n}") for n in orders for name, v in (("o", F.least("a", "b")), ("h", F.col("a")), ("r", F.col("b")))])
+    def count(h: list[str], r: list[str]) -> Iterator[int]:
+        for n in orders:
+            a, b = (Counter(zip(*(t[i:] for i in range(n)), strict=False)) for t in (h, r))
+            yield from (sum(min(k, b[g]) for g, k in a.items() if g in b), max(len(h) - n + 1, 0), max(len(r) - n + 1, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAIRS):
+                some = batch.slice(at, PAIRS)
+                h, r = (some.column(some.schema.get_field_index(c)).to_pylist() for c in ("h", "r"))
+                counts = zip(*(count(x or [], y or []) for x, y in zip(h, r, strict=True)), strict=True)
+                yield pa.RecordBatch.from_arrays([*some.columns[:-2], *(pa.array(c, pa.int64()) for c in counts)], names=names)
+
+    t = pairs.select(key, *keep, "h", "r")
+    names = [key, *keep, *(f"{c}{n}" for n in orders for c in "ohr")]
+    kinds = [t.schema[c].dataType.simpleString() for c in (key, *keep)] + ["long"] * (3 * len(orders))
+    return t.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in zip(names, kinds, strict=True)))
 
 
 def rouge(pairs: DataFrame, orders: tuple[int, ...] = (1, 2), key: str = "id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caselight.functions import chars
 from caselight.functions import lexicon as lex
+from caselight.operators import metrics
 from caselight.plans import queries
 from caselight.sources import readers, writers
 
@@ -57,3 +58,12 @@ def test_text_folders_are_not_listed_by_the_driver(spark, tmp_path):
     df = readers.text_folder(spark, f"file://{tmp_path}/")
     assert not df.inputFiles()
     assert sorted((r.id, r.source_file, r.text) for r in df.collect()) == sorted((f"{i} +%", f"{i} +%.TXT", f"a\nb{i}") for i in range(300))
+
+
+def test_grams_become_no_rows(spark):
+    df = spark.createDataFrame([("k", "a b a b", "a b c"), ("l", None, "x")], "id string, hyp string, ref string")
+    scores = metrics.bleu_scores(df)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Repartition" not in plan
+    got = {r.id: r.bleu for r in scores.collect()}
+    assert abs(got["k"] - metrics.sentence_bleu("a b a b", "a b c")) < 1e-9 and got["l"] == 0.0
